@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLES.
-MODULES = ("host_rules",)
+MODULES = ("tokens", "mixing", "packing", "host_rules", "secrets")
 
 
 def queries() -> dict:
