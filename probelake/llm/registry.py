@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLES.
-MODULES = ("tokens", "mixing", "packing", "host_rules", "secrets")
+MODULES = ("secrets", "tokens", "imatch", "mixing", "pu_quality", "jaccard", "debruijn", "packing", "host_rules", "nb_toxicity")
 
 
 def queries() -> dict:
