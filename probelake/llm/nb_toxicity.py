@@ -2,7 +2,8 @@
 
 A text's features are the distinct n-grams (by UTF-8 bytes, of ``ORDERS``) of its lower-cased words, each word between
 spaces, hashed to ``SLOTS`` slots. Over the training texts each slot has the log ratio of its smoothed shares in toxic
-and other texts; a logistic model is trained on presence times ratio. A Platt scale fitted on training rows that were
+and other texts; slots whose shares differ by less than ``LEAST_Z`` standard errors are left out, as most n-grams are
+chance. A logistic model is trained on presence times ratio. A Platt scale fitted on training rows that were
 left out of the fit makes scores probabilities.
 
 Fitted on samples of at most ``TOXIC`` and ``OTHERS`` labelled documents, chosen by a hash of their ids from rows that
@@ -21,9 +22,9 @@ from .common import table
 from .linear import Adam, platt, sigmoid
 from .scoring import first_by_hash, remainder, score
 
-TOXIC, OTHERS, ORDERS, SLOTS, FEWEST = 1500, 3000, (4, 6), 1 << 20, 3
+TOXIC, OTHERS, ORDERS, SLOTS, LEAST_Z = 2000, 3000, (4, 5, 6), 1 << 20, 4.5
 THRESHOLD, MOD, HELD_OUT = 0.7, 3, 1
-EPOCHS, BATCH, RATE, DECAY, SMOOTH = 30, 128, 0.02, 1e-5, 0.5
+EPOCHS, BATCH, RATE, DECAY, SMOOTH = 40, 128, 0.02, 1e-5, 0.5
 
 
 def ngrams(text: str) -> np.ndarray:
@@ -43,13 +44,14 @@ def ngrams(text: str) -> np.ndarray:
 
 def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 3) -> tuple[np.ndarray, float]:
     """(weight by slot, intercept). rows: distinct slots."""
-    toxic, other = np.full(SLOTS, SMOOTH, np.float64), np.full(SLOTS, SMOOTH, np.float64)
-    seen = np.zeros(SLOTS, np.int32)
+    toxic, other = np.zeros(SLOTS), np.zeros(SLOTS)
     for r, t in zip(rows, y):
         (toxic if t else other)[r] += 1
-        seen[r] += 1
-    ratio = np.log(toxic / (SMOOTH * 2 + y.sum())) - np.log(other / (SMOOTH * 2 + (1 - y).sum()))
-    ratio[seen < min(FEWEST, max(1, int(y.sum()) // 8))] = 0
+    n1, n0 = y.sum(), (1 - y).sum()
+    share = (toxic + other) / (n1 + n0)
+    error = np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)) + 1e-12
+    ratio = np.log((toxic + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((other + SMOOTH) / (n0 + 2 * SMOOTH))
+    ratio[np.abs(toxic / n1 - other / n0) < LEAST_Z * error] = 0
     used = np.flatnonzero(ratio)
     index = np.full(SLOTS, -1, np.int64)
     index[used] = np.arange(len(used))
@@ -63,10 +65,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 3) -> tuple[np.ndarra
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
             flat = np.concatenate([cols[i] for i in part]) if len(part) else np.zeros(0, np.int64)
             of = np.repeat(np.arange(len(part)), [len(cols[i]) for i in part])
-            norm = np.sqrt(np.maximum(1, np.bincount(of, minlength=len(part))))
-            z = np.bincount(of, w[flat] * scale[flat], minlength=len(part)) / norm + w[-1]
+            z = np.bincount(of, w[flat] * scale[flat], minlength=len(part)) + w[-1]
             g = (sigmoid(z) - y[part]) * weight[part] / len(part)
-            grad = np.bincount(flat, (g / norm)[of] * scale[flat], minlength=len(w))
+            grad = np.bincount(flat, g[of] * scale[flat], minlength=len(w))
             grad[-1] += g.sum()
             adam.step(w, grad + DECAY * w)
     dense = np.zeros(SLOTS, np.float32)
@@ -74,8 +75,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 3) -> tuple[np.ndarra
     return dense, float(w[-1])
 
 
-def raw(rows: list[np.ndarray], dense: np.ndarray, known: np.ndarray, bias: float) -> np.ndarray:
-    return np.array([dense[r].sum(dtype=np.float64) / np.sqrt(max(1, known[r].sum())) + bias for r in rows])
+def raw(rows: list[np.ndarray], dense: np.ndarray, bias: float) -> np.ndarray:
+    return np.array([dense[r].sum(dtype=np.float64) + bias for r in rows])
 
 
 def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
@@ -102,7 +103,7 @@ def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         if 0 < y[part != k].sum() < (part != k).sum():
             w, bias = fit([rows[i] for i in np.flatnonzero(part != k)], y[part != k])
             at = np.flatnonzero(part == k)
-            z[at], held[at] = raw([rows[i] for i in at], w, w != 0, bias), True
+            z[at], held[at] = raw([rows[i] for i in at], w, bias), True
     w, bias = fit(rows, y)
     a, b = platt(z[held], y[held])
     b += np.log(prior / (1 - prior)) - np.log(y.sum() / (1 - y).sum())
@@ -112,14 +113,15 @@ def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 def scorer(model: dict):
     if "w" not in model:
         return lambda text: float(model["prior"])
-    w, known, mark = model["w"], model["w"] != 0, np.zeros(SLOTS, np.int32)
+    w, mark = model["w"], np.zeros(SLOTS, np.int32)
 
     def f(text: str) -> float:
         h = ngrams(text)
+        h = h[w[h] != 0]
         order = np.arange(len(h), dtype=np.int32)
         mark[h] = order
         h = h[mark[h] == order]  # each slot once
-        z = w[h].sum(dtype=np.float64) / np.sqrt(max(1, known[h].sum())) + model["bias"]
+        z = w[h].sum(dtype=np.float64) + model["bias"]
         return float(sigmoid(np.float64(model["a"] * z + model["b"])))
 
     return f
