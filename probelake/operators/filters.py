@@ -20,9 +20,9 @@ def filter_genotypes(genotypes: DataFrame, min_umis: int = 1, min_cells: int = 1
     counts = calls.filter("genotype is not null").groupBy("probe_idx", "genotype").agg(F.count(F.lit(1)).alias("n"))
     if top_n is not None:
         counts = counts.withColumn("r", F.row_number().over(Window.partitionBy("probe_idx").orderBy(F.desc("n"), "genotype"))).filter(F.col("r") <= top_n)
-    good = counts.filter(F.col("n") >= min_cells).select("probe_idx", F.col("genotype").alias("good"))
-    joined = calls.join(good, (calls["probe_idx"] == good["probe_idx"]) & (calls["genotype"] == good["good"]), "left").drop(good["probe_idx"])
-    return joined.withColumn("genotype", F.col("good")).drop("good")
+    good = counts.filter(F.col("n") >= min_cells).select(F.col("probe_idx").alias("of"), F.col("genotype").alias("good"))
+    joined = calls.join(good, (F.col("probe_idx") == F.col("of")) & (F.col("genotype") == F.col("good")), "left")
+    return joined.withColumn("genotype", F.col("good")).drop("good", "of")
 
 
 def filter_barcodes(entries: DataFrame, cells: DataFrame, listed: DataFrame, pad: bool = True) -> tuple[DataFrame, DataFrame]:

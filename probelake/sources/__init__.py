@@ -1,0 +1,9 @@
+"""Readers and writers: FASTQ pairs, panels, whitelists, matrices, and the Parquet star schema."""
+
+from .fastq import FastqSource, discover, read_fastqs
+from .star import read_star, write_star
+from .text import read_coordinates, read_mtx, read_panel, read_sam_tags, read_truth, read_whitelist, write_unmapped
+
+__all__ = [
+    "FastqSource", "discover", "read_coordinates", "read_fastqs", "read_mtx", "read_panel", "read_sam_tags", "read_star", "read_truth", "read_whitelist", "write_star", "write_unmapped",
+]
