@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 CHUNK_CHARS, OVERLAP_CHARS, AGREE = 32768, 512, 4
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 900_000
 LIMIT = 2048
 
 
