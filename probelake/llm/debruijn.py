@@ -7,8 +7,8 @@ windows; a path whose minimizer has no other path repeats none; only where one m
 graph branch, and only those paths are opened, one copy of each, into windows that are compared one by one. Removed
 words come from the source coordinates of repeated paths and windows, taken back to each document's words.
 
-Hashes are compared over 96 bits. Minimizers that hold more than a thousandth of all paths are split by path, all
-theirs counting as branching, so no task holds a hot one. Windows are judged on the input alone.
+Hashes are compared over 96 bits. Minimizers that hold more than a thousandth of all paths are dealt to SALTS groups at
+random, and one copy of each of their paths in each group is opened, so no task holds a hot one. Windows are judged on the input alone.
 
 Null text has no words; documents of fewer words than a window lose none. Rows that repeat an id are taken as copies
 of one document: their windows repeat, and each gets its row. Empty tables give empty results.
@@ -26,7 +26,7 @@ from .hashing import U, mixed, run_hashes, sliding_first_min, window_hashes, wor
 
 WINDOW, KMER = 35, 8
 HOT_SHARE, HOT_LEAST, SALTS = 1000, 1000, 64
-LIMIT = 48 << 20
+LIMIT = 16 << 20
 _OTHER = U(0xA0761D6478BD642F)
 
 
@@ -93,7 +93,7 @@ def repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window: int =
     limit = max(HOT_LEAST, found.count() // HOT_SHARE)
     hot = [r["m"] for r in counts.filter(F.col("c") > limit).select("m").collect()]  # at most HOT_SHARE rows
     is_hot = F.col("m").isin(hot) if hot else F.lit(False)
-    salted = found.withColumn("salt", F.when(is_hot, F.pmod("s1", F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    salted = found.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("sd_id", "first"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     group = Window.partitionBy("m", "salt")
     w = group.orderBy("s1", "s2", "n")
     same = lambda f: F.coalesce((f("s1").over(w) == F.col("s1")) & (f("s2").over(w) == F.col("s2")) & (f("n").over(w) == F.col("n")), F.lit(False))
