@@ -187,7 +187,7 @@ def test_jaccard_join(spark, sf):
 def test_family_blocks():
     rng = np.random.default_rng(0)
     make = lambda n, keep: [np.unique(np.concatenate([rng.choice(200, keep, False), rng.integers(1000, 5000, 12)])) for _ in range(n)]
-    a, b = make(30, 182), make(25, 171)
+    a, b = make(30, 188), make(25, 177)
     want = np.array([[100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y)) for y in b] for x in a])
     assert want.any() and not want.all()
     for dense in (0, 60, 10**6):
