@@ -147,4 +147,12 @@ def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_debruijn": op7_debruijn}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_debruijn": r"""with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+win as (select doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) s from (select doc_id, ws, unnest(range(1, len(ws) - 33)) i from w)),
+twice as (select s from win group by s having count(*) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) p from win semi join twice using (s)),
+pos as (select doc_id, unnest(ws) word, generate_subscripts(ws, 1) p from w),
+kept as (select doc_id, string_agg(word, ' ' order by p) k, count(*) n from pos anti join gone using (doc_id, p) group by doc_id)
+select doc_id, cast(len(ws) as bigint) n_words, cast(len(ws) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(k, '')) kept_sha256 from w left join kept using (doc_id)"""
+}

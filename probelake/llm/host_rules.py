@@ -129,4 +129,17 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_host_rules": op9_host_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_host_rules": r"""with w as (select doc_id, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+win as (select doc_id, i, md5(array_to_string(ws[i:i + 7], ' ')) s from (select doc_id, ws, unnest(range(1, len(ws) - 6)) i from w)),
+rep as (select doc_id, count(distinct p) r from (select doc_id, unnest(range(i, i + 8)) p from (select *, count(*) over (partition by doc_id, s) k from win) where k > 1) group by 1),
+m as (select w.doc_id, source, cast(len(ws) as bigint) n_words, cast(length(array_to_string(ws, '')) as bigint) word_chars, cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) n_symbols,
+ [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] ls, coalesce(r, 0) n_repeat_words from w left join rep using (doc_id)),
+f as (select *, cast(len(ls) - len(list_distinct(ls)) as bigint) n_dup_lines, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from m),
+g as (select *, base_failed or 100 * n_symbols > 10 * n_words or 100 * n_dup_lines > 30 * len(ls) or word_chars < 3 * n_words or word_chars > 10 * n_words any_failed from f),
+h as (select source, count(*) d, count(*) filter (any_failed) x from g group by 1),
+p as (select greatest(1e-6, least(1 - 1e-6, sum(x) / sum(d))) mean, var_pop(x / d) v, avg(1 / d) inv from h),
+q as (select mean, greatest(mean * (1 - mean) / greatest(v - mean * (1 - mean) * inv, mean * (1 - mean) * 1e-3) - 1, 1) strength from p),
+bad as (select source, (x + mean * strength) / (d + strength) >= 0.5 b from h, q)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (b and any_failed) kept from g join bad on g.source is not distinct from bad.source"""
+}
