@@ -7,10 +7,10 @@ prefix, k being a share of n. Postings of at most ``RARE`` classes give all thei
 
 Longer postings belong to frequent tokens. A class with fewer than k of them needs no more, as a partner shares k
 tokens with it of which one is rare. The others are indexed again among themselves with frequent tokens last, which
-a fixed-size bitmap tells, so that their prefixes extend over rarer ones. For what is still frequent, combinations
-of k tokens count: two classes qualify if they share k frequent tokens, counted rather than enumerated. Stars
-around each frequent posting's least class come first, and only classes that are in different components after them
-are paired. Every candidate is verified on the whole sets.
+a fixed-size bitmap tells, so that their prefixes extend over rarer ones. What still has k frequent tokens can't be told apart by
+an index of k-token combinations, which members of a large group of near copies all share: such classes are taken as
+families of shared frequent tokens, where combinations are counted (all tokens of a pair at once, block by block)
+rather than enumerated. Every candidate is verified on the whole sets.
 
 Null or wordless text has an empty set and no links; with fewer than five words the whole sequence is the one
 shingle. Rows that repeat an id are taken as one document and each get its row. Empty tables give empty results.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from .components import components
 from .hashing import U, window_hashes, word_hashes
 
 SHINGLE, PERCENT = 5, 75
-RARE, EXTEND, STARS = 16, 16, 3
+RARE, EXTEND, BLOCK, DENSE = 16, 16, 1024, 4096
 BITS = 24
 LIMIT = 32 << 20
 
@@ -100,7 +101,7 @@ def prefixes(docs: DataFrame, frequent: bytes | None = None) -> DataFrame:
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """From (tok, rep, n): (a, b, -) pairs of rare tokens and (tok, rep, n) of frequent ones, as (kind, x, y, n).
+    """From (tok, rep, n): pairs of rare tokens (0, a, b, times met) and rows of frequent ones (1, tok, rep, n).
 
     One shuffle by token; then a stream over sorted rows that holds at most RARE rows of a token.
     """
@@ -234,34 +235,90 @@ def classes_and_links(df: DataFrame, id: str = "doc_id", text: str = "text") ->
     links = cut(verified(pairs, sets))
     if again is None or not hot.limit(1).count():
         return mapped, links
-    # Frequent tokens: stars around the least class (by a hash that changes) of each posting with several components.
-    tried = pairs
-    for r in range(STARS + 1):
-        comps = maybe_broadcast(components(links), LIMIT)
-        rows = hot.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        rows = cut(rows)
-        mixed_toks = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("rep", F.lit(r)), "rep", "comp", "n")).alias("star")).filter("lo < hi").select("tok", "star")
-        mixed_toks = cut(mixed_toks)
-        if not mixed_toks.limit(1).count():
-            break
-        if r < STARS:
-            joined = rows.join(maybe_broadcast(mixed_toks, LIMIT), "tok").filter("comp != star.comp")
-            found = joined.select(F.least("rep", "star.rep").alias("a"), F.greatest("rep", "star.rep").alias("b"), F.col("n").alias("na"), F.col("star.n").alias("nb")).distinct()
-        else:  # what is left: classes of different components that share k frequent tokens
-            left = rows.join(maybe_broadcast(mixed_toks.select("tok"), LIMIT), "tok", "left_semi")
-            x, y = (left.select("tok", *[F.col(c).alias(c + s) for c in ("rep", "comp", "n")]) for s in ("x", "y"))
-            met = x.join(y, "tok").filter("repx < repy and compx != compy").filter(_fits("nx", "ny"))
-            k = F.greatest(F.lit(1), F.floor(F.least("nx", "ny") / EXTEND))
-            met = met.groupBy("repx", "repy", "nx", "ny").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= k)
-            found = met.select(F.col("repx").alias("a"), F.col("repy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
-        found = cut(found.filter(_fits("na", "nb")).select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        links = links.union(cut(verified(found, sets)))
-        tried = tried.union(found)
-    return mapped, links
-
-
-def _fits(a: str, b: str):
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    return mapped, links.union(cut(family_links(hot, sets)))
+
+
+def family_links(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is linked among classes with many frequent tokens; ``hot`` is (tok, rep, n).
+
+    Classes that share frequent tokens, directly or through others, are a family. A family is cut into blocks of BLOCK
+    classes, and a task gets two blocks: it counts shared tokens of all their pairs in matrices and returns a spanning
+    forest of the links, so no pairs are emitted and a task's size is fixed.
+    """
+    least = hot.groupBy("tok").agg(F.min("rep").alias("b"))
+    shared = hot.join(least, "tok").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    families = components(cut(shared))
+    sizes = families.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = families.withColumnRenamed("node", "rep").join(sizes, "comp").join(sets, "rep")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "s")
+    return rows.groupBy("comp", "i", "j").applyInPandas(_block_links, "a long, b long")
+
+
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+    sides = []
+    for block in (i, j):
+        part = rows[rows["own"] == block].drop_duplicates("rep").sort_values("rep")
+        sides.append((part["rep"].to_numpy(), [_unpack(bytes(x)) for x in part["s"]]))
+    (ra, sa), (rb, sb) = sides
+    if not len(ra) or not len(rb):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    linked = similar(sa, sb)
+    if i == j:
+        np.fill_diagonal(linked, False)
+    found = forest(linked, i == j)
+    return pd.DataFrame({"a": [ra[x] for x, _ in found], "b": [rb[y] for _, y in found]}, dtype="int64")
+
+
+def similar(sa: list[np.ndarray], sb: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of two lists of sets have Jaccard PERCENT or more."""
+    na, nb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
+    toks, where = np.unique(np.concatenate([*sa, *sb]), return_inverse=True)
+    wa, wb = where[: na.sum()], where[na.sum() :]
+    oa, ob = np.repeat(np.arange(len(sa)), na), np.repeat(np.arange(len(sb)), nb)
+    ca, cb = np.bincount(wa, minlength=len(toks)), np.bincount(wb, minlength=len(toks))
+    shared = np.zeros((len(sa), len(sb)), np.float32)
+    dense = np.flatnonzero(ca * cb > DENSE)
+    for first in range(0, len(dense), 512):  # tokens of many pairs: as matrix products
+        cols = np.full(len(toks), -1)
+        cols[dense[first : first + 512]] = np.arange(len(dense[first : first + 512]))
+        x, y = np.zeros((len(sa), 512), np.float32), np.zeros((len(sb), 512), np.float32)
+        ka, kb = cols[wa] >= 0, cols[wb] >= 0
+        x[oa[ka], cols[wa[ka]]] = 1
+        y[ob[kb], cols[wb[kb]]] = 1
+        shared += x @ y.T
+    few = (ca > 0) & (cb > 0) & (ca * cb <= DENSE)
+    ka, kb = few[wa], few[wb]
+    ta, da, tb, db = wa[ka], oa[ka], wb[kb], ob[kb]
+    order = np.argsort(tb, kind="stable")
+    tb, db = tb[order], db[order]
+    begin, n = np.searchsorted(tb, ta), cb[ta]
+    at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    flat = np.repeat(da, n) * len(sb) + db[at]
+    shared += np.bincount(flat, minlength=shared.size).reshape(shared.shape)
+    return 100 * shared >= PERCENT * (na[:, None] + nb[None] - shared)
+
+
+def forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """A spanning forest of a boolean link matrix, rows to columns; ``same``: rows and columns are the same nodes."""
+    rows, cols = np.zeros(linked.shape[0], bool), np.zeros(linked.shape[1], bool)
+    if same:
+        cols = rows
+    out = []
+    for start in range(len(rows)):
+        if rows[start]:
+            continue
+        rows[start] = True
+        todo = [(start, True)]
+        while todo:
+            x, is_row = todo.pop()
+            new = np.flatnonzero((linked[x] if is_row else linked[:, x]) & ~(cols if is_row else rows))
+            (cols if is_row else rows)[new] = True
+            out += [(x, y) if is_row else (y, x) for y in new.tolist()]
+            todo += [(y, same or not is_row) for y in new.tolist()]
+    return out
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
