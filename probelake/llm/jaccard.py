@@ -136,8 +136,8 @@ def postings(rows: DataFrame) -> DataFrame:
             x, y = (runs[:, None] + i).ravel(), (runs[:, None] + j).ravel()
             fits = (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])) & (rep[x] != rep[y])
             x, y = rep[x[fits]], rep[y[fits]]
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            yield out(0, pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int32))
+            pairs, met = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1, return_counts=True)
+            yield out(0, pairs[0], pairs[1], met.astype(np.int32))
         at = np.repeat(is_hot, size)
         if at.any():
             yield out(1, tok[at], rep[at], n[at])
@@ -206,6 +206,22 @@ def _busy(hot: DataFrame) -> DataFrame:
     return hot.groupBy("rep").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).filter(F.col("m") >= limit).select("rep", "n")
 
 
+def plausible(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``postings`` that can still reach PERCENT, from how many tokens their prefixes share.
+
+    Tokens shared beyond the prefix that ends first number no more than its set has left there, and tokens shared
+    within are those met in rare postings and at most the frequent ones of either.
+    """
+    hot = found.filter("kind = 1").groupBy(F.col("y").alias("rep")).agg(F.count(F.lit(1)).alias("m"))
+    known = cut(sizes.select("rep", "n").join(hot, "rep", "left").select("rep", "n", F.coalesce("m", F.lit(0)).alias("m")))
+    of = lambda c: maybe_broadcast(known, LIMIT).toDF(c, f"n{c}", f"m{c}")
+    met = found.filter("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("met"))
+    met = met.join(of("a"), "a").join(of("b"), "b")
+    left = lambda n: F.ceil(PERCENT * F.col(n) / 100) - F.greatest(F.lit(1), F.floor(F.col(n) / EXTEND))
+    most = F.col("met") + F.least("ma", "mb") + F.greatest(left("na"), left("nb"), F.lit(0))
+    return met.filter((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def classes_and_links(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """((id, n, rep), links (a, b) between class representatives that connect every component)."""
     docs = df.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("rep"), F.col(text))
@@ -219,13 +235,13 @@ def classes_and_links(df: DataFrame, id: str = "doc_id", text: str = "text") ->
 
     first = cut(postings(prefixes(texts(reps.select("rep")))))
     hot = first.filter("kind = 1").select(F.col("x").alias("tok"), F.col("y").alias("rep"), "n")
-    pairs = first.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = plausible(first, reps)
     busy = cut(_busy(hot))
     again = None
     if busy.limit(1).count():  # frequent tokens last, among the classes that have many
         again = cut(postings(prefixes(texts(busy.select("rep")), _bitmap(hot.select("tok")))))
         hot = again.filter("kind = 1").select(F.col("x").alias("tok"), F.col("y").alias("rep"), "n")
-        pairs = pairs.union(again.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        pairs = pairs.union(plausible(again, reps))
         hot = cut(hot.join(maybe_broadcast(cut(_busy(hot).select("rep")), LIMIT), "rep", "left_semi"))
     pairs = cut(pairs.distinct())
     some = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
