@@ -350,4 +350,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_jaccard_join": op6_jaccard_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_jaccard_join": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) i from w)),
+n as (select doc_id, count(*) n from s group by 1),
+links as (select a.doc_id a, b.doc_id b from s a join s b using (g) join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id having 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach as (select doc_id a, doc_id b from documents union select r.a, l.b from reach r join links l on l.a = r.b)
+select w.doc_id, coalesce(any_value(n.n), 0) n_shingles, min(reach.b) component_id from w left join n using (doc_id) join reach on reach.a = w.doc_id group by w.doc_id"""
+}
