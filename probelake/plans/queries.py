@@ -414,7 +414,7 @@ def whitelist_pigeonhole(spark, d):
 select seq, entry, cast(edits as int) edits from q left join (select * from (select *, row_number() over (partition by seq order by edits, entry) r from near) where r = 1) using (seq)""")
 def whitelist_indels(spark, d):
     white, asked = _whitelist(spark, d)
-    return fuzzy.match_whitelist(asked.filter("k % 20 = 1").select(F.col("seq").substr(1, 12).alias("seq")), white.select(F.col("entry").substr(1, 12).alias("entry")), 1, indels=True)
+    return fuzzy.match_whitelist(asked, white, 1, indels=True)
 
 
 @query(None)
