@@ -37,3 +37,11 @@ def test_indels_are_found(spark):
     table = lambda xs, name: spark.createDataFrame([(x,) for x in xs], f"{name} string")
     got = fuzzy.match_whitelist(table(asked, "seq"), table(white, "entry"), 1, indels=True).collect()
     assert sorted([(r["seq"], r["entry"], r["edits"]) for r in got], key=str) == sorted((nearest(s, white) for s in asked), key=str)
+
+
+def test_specific_genotypes_of_all_orders(spark, tmp_path):
+    items = [(97, 1, 1, "A", "F"), (98, 2, 1, "A", "F"), (99, 1, 2, "N", "O"), (100, 2, 3, "R", "F"), (101, 1, 3, "R", "F"), (194, 2, 4, "R", "F")]
+    spark.createDataFrame(items, "l_orderkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7), (2, 8)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r["probe_idx"], r["grp"], r["genotype"]) for r in q.specific_probes(spark, str(tmp_path)).collect()}
+    assert got == {(2, 7, "NO"), (4, 8, "RF")}
