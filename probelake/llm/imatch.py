@@ -1,8 +1,8 @@
 """I-Match fingerprints: terms within a band of inverse document frequency, hashed over randomised lexicon subsets.
 
-Terms are the distinct lower-cased words of a text, hashed to ``SLOTS`` slots. Document frequencies are counted by
-slot over all documents, so that their table, and the bit for each slot in the band, are of a fixed size. A text's
-terms in the band are sorted; where fewer than ``FEWEST`` are, all its terms count. Each subset of the lexicon keeps
+Terms are the distinct lower-cased words of a text, as 64-bit hashes. Document frequencies are counted by term over
+all documents. The terms in the band are never held in one place: each range of ids (below) gets those that its texts
+have, in ``BUCKETS`` buckets to look them up by. A text's terms in the band are sorted; where fewer than ``FEWEST`` are, all its terms count. Each subset of the lexicon keeps
 a term at random with a fixed rate (``REPEATS`` subsets at each of ``RATES``), and hashes what it keeps of the sorted
 terms. The fingerprint is those hashes; the likeness of two is the share of equal ones among subsets that keep a term
 of either text. Small rates compare texts that differ much, large ones tell near copies apart.
@@ -23,29 +23,38 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, let, table
 
-SLOTS, FEWEST = 1 << 18, 4
+BUCKETS, FEWEST = 1 << 12, 4
 #: Documents that may hold a term: at most this share, at least this share and number.
 MOST_SHARE, LEAST_SHARE, LEAST_DOCS = 0.1, 1e-5, 2
 RATES, REPEATS = (1, 3, 5, 7, 9), 6  # powers of 1/2
 
 
 def terms(text: Column) -> Column:
-    """Distinct slots of a text's words."""
+    """Distinct hashes of a text's words."""
     ws = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACES, -1), "")
-    return F.array_distinct(F.transform(ws, lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")))
+    return F.array_distinct(F.transform(ws, lambda w: F.xxhash64(w)))
 
 
-def lexicon(df: DataFrame, text: str = "text") -> Column:
-    """The band as a constant: array<long> with a bit for each slot. At most SLOTS / 64 rows reach the driver."""
+def lexicon(df: DataFrame, text: str = "text") -> DataFrame:
+    """(term): those in the band."""
     n = df.count()
-    slots = df.select(F.explode(terms(F.col(text))).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("docs"))
+    docs = df.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     least, most = max(LEAST_DOCS, math.ceil(LEAST_SHARE * n)), max(LEAST_DOCS, MOST_SHARE * n)
-    bits = slots.filter((F.col("docs") >= least) & (F.col("docs") <= most)).groupBy(F.shiftright("slot", 6).alias("word"))
-    bits = bits.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63))).alias("bits"))
-    found = [0] * (SLOTS // 64)
-    for r in bits.collect():
-        found[r["word"]] = r["bits"]
-    return F.split(F.lit(",".join(map(str, found))), ",").cast("array<bigint>")
+    return docs.filter((F.col("docs") >= least) & (F.col("docs") <= most)).select("term")
+
+
+def bucket(term: Column) -> Column:
+    return term.bitwiseAND(BUCKETS - 1).cast("int")
+
+
+def with_lexicon(rows: DataFrame, lex: DataFrame, *texts: str) -> DataFrame:
+    """``rows`` with im_lex: the lexicon's terms that texts of the row's range have, an array of ``BUCKETS`` arrays."""
+    used = rows.select("im_range", F.explode(F.array_distinct(F.flatten(F.array(*[terms(F.col(t)) for t in texts])))).alias("term")).distinct()
+    used = used.join(lex, "term", "left_semi").select("im_range", bucket(F.col("term")).alias("b"), "term")
+    every = rows.select("im_range").distinct().select("im_range", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("b"), F.lit(None).cast("long").alias("term"))
+    held = used.unionByName(every).groupBy("im_range", "b").agg(F.collect_list("term").alias("ts"))
+    held = held.groupBy("im_range").agg(F.array_sort(F.collect_list(F.struct("b", "ts"))).alias("im_lex"))
+    return rows.join(held.select("im_range", F.col("im_lex.ts").alias("im_lex")), "im_range")
 
 
 def fingerprint(text: Column, lex: Column) -> Column:
@@ -60,17 +69,12 @@ def fingerprint(text: Column, lex: Column) -> Column:
         return let(kept, lambda k: F.when(F.size(k) > 0, F.xxhash64(k).bitwiseAND(0xFFFFFFFF)).otherwise(F.lit(0).cast("long")))
 
     def banded(all_terms: Column) -> Column:
-        inside = F.filter(all_terms, lambda t: _bit(lex, t))
+        inside = F.filter(all_terms, lambda t: F.array_contains(F.get(lex, bucket(t)), t))
         return let(inside, lambda k: F.array_sort(F.when(F.size(k) >= FEWEST, k).otherwise(all_terms)))
 
     return let(terms(text), lambda ts: let(banded(ts), hashes))
 
 
-def _bit(lex: Column, slot: Column) -> Column:
-    shifted = F.call_function("shiftrightunsigned", F.get(lex, F.shiftright(slot, 6)), slot.bitwiseAND(63))
-    return shifted.bitwiseAND(F.lit(1).cast("long")) == 1
-
-
 def likeness(a: Column, b: Column) -> Column:
     pairs = F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: (p["a"] != 0) | (p["b"] != 0))
     return let(pairs, lambda ps: F.when(F.size(ps) == 0, F.lit(1.0)).otherwise(F.size(F.filter(ps, lambda p: p["a"] == p["b"])).cast("double") / F.size(ps)))
@@ -80,8 +84,8 @@ def as_text(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
-def with_next(df: DataFrame, id: str, text: str, make, ranges: int | None = None) -> DataFrame:
-    """(id, text, im_next, im_own, im_next_own): ``make(text)`` gives im_own; the next row's are taken by id."""
+def with_next(df: DataFrame, id: str, text: str, ranges: int | None = None) -> DataFrame:
+    """(id, text, im_range, im_next): the next row's text is taken by id."""
     spark = df.sparkSession
     ranges = ranges or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = df.select(id).filter(F.col(id).isNotNull())
@@ -107,19 +111,19 @@ def with_next(df: DataFrame, id: str, text: str, make, ranges: int | None = None
         extra = heads.withColumn("im_range", F.when(at == 0, F.lit(last)).otherwise(at - 1))
     rows = ranged.withColumn("im_copy", F.lit(0)).unionByName(extra.withColumn("im_copy", F.lit(1)))
     w = Window.partitionBy("im_range").orderBy("im_copy", F.col(id).asc_nulls_last(), F.coalesce(F.col(text), F.lit("")))
-    rows = rows.withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn("im_own", make(F.col(text)))
-    rows = rows.withColumns({"im_next": F.lead(text).over(w), "im_next_own": F.lead("im_own").over(w)})
-    return rows.filter("im_copy = 0").drop("im_copy", "im_range")
+    rows = rows.withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn("im_next", F.lead(text).over(w))
+    return rows.filter("im_copy = 0").drop("im_copy")
 
 
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lex = lexicon(docs)
-    rows = with_next(docs, "doc_id", "text", lambda t: fingerprint(t, lex))
+    rows = with_next(docs, "doc_id", "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("im_text", F.concat(F.col("text").substr(F.lit(1), n - half), F.col("im_next").substr(F.lit(1), half)))
-    rows = rows.withColumn("im_edited", fingerprint(F.col("im_text"), lex))
+    rows = with_lexicon(rows, lexicon(docs), "text", "im_next", "im_text")
+    prints = {f"im_{k}": fingerprint(F.col(t), F.col("im_lex")) for k, t in (("own", "text"), ("edited", "im_text"), ("next_own", "im_next"))}
+    rows = rows.select("doc_id", "text", "im_text", *[v.alias(k) for k, v in prints.items()])
     return rows.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("im_text").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("im_own")).alias("fingerprint"), as_text(F.col("im_edited")).alias("edited_fingerprint"),
