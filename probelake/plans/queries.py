@@ -141,7 +141,7 @@ union all select 'CELLS_PER_GAPFILL_STD', stddev_pop(c) from c union all select
 select statistic, round("value", 6) "value" from t""")
 def summary_stats(spark, d):
     cells = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_idx"))
-    return counts.summarize(b.wide_entries(spark, d).filter("probe_idx < 4"), cells).withColumn("value", F.round("value", 6))
+    return counts.summarize(b.wide_entries(spark, d), cells).withColumn("value", F.round("value", 6))
 
 
 @query(f"with {b.WIDE_SQL}, t as (select sum(n_umis) n_umis from entries group by cell_idx) select cast(n_umis as bigint) n_umis, count(*) n_cells, cast(sum(count(*)) over (order by n_umis desc) as bigint) rank from t group by n_umis")
@@ -533,9 +533,9 @@ def genotype_distances(spark, d):
 
 @query(None)
 def impute_genotypes(spark, d):
-    calls = genotypes.call_genotypes(b.entries(spark, d), 0.6).filter((F.col("cell_idx") + F.col("probe_idx")) % 3 != 0)
+    calls = genotypes.call_genotypes(b.entries(spark, d), 0.6)
     cells = calls.select("cell_idx", (F.col("cell_idx") % 2).alias("cluster")).distinct()
-    return knn.impute_genotypes(calls, cells, k=15)[0]
+    return knn.impute_genotypes(calls, cells, k=15, hold_out=1 / 3)[0]
 
 
 @query(None)

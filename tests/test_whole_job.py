@@ -73,3 +73,21 @@ def test_each_range_has_its_terms_of_the_band(spark):
     for r in got:
         assert {t for t in r["ts"] if t in r["im_lex"][t & (imatch.BUCKETS - 1)]} == band & set(r["ts"])
     assert band and any(band & set(r["ts"]) for r in got)
+
+
+def test_summary_of_all_probes(spark, tmp_path):
+    items = [(s, line, "A", "F", 10.0 * line, 0.01) for s in (1, 2) for line in range(1, 8)]
+    spark.createDataFrame(items, "l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (2,), (3,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["statistic"]: r["value"] for r in q.summary_stats(spark, str(tmp_path)).collect()}
+    assert (got["TOTAL_CELLS"], got["TOTAL_UMIS"], got["GAPFILL_CONTAINING_CELLS"], got["UMIS_PER_CELL_MIN"]) == (3, 14, 2, 0)
+    assert got["SEQUENCING_SATURATION"] == round(1 - 14 / 560, 6)
+
+
+def test_imputation_is_given_every_call(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(q.knn, "impute_genotypes", lambda calls, cells, **k: given.append((calls, cells, k)) or (calls, None))
+    q.impute_genotypes(spark, "/root/testdata/sf0.001")
+    calls, cells, options = given[0]
+    assert calls.count() == q.QUERIES["call_genotypes"](spark, "/root/testdata/sf0.001").count() and options["hold_out"] > 0
+    assert cells.count() == calls.select("cell_idx").distinct().count()
