@@ -100,20 +100,58 @@ def variable_genes(normalized: DataFrame, n_cells: int, top: int = 2000) -> Data
     return m.select("gene", (var / mean).alias("dispersion")).orderBy(F.desc("dispersion"), "gene").limit(top)
 
 
-def cocluster(normalized: DataFrame, coordinates: DataFrame, weight: float = 0.5, k: int = 15, rounds: int = 10) -> DataFrame:
+def principal_components(normalized: DataFrame, n: int = 50) -> DataFrame:
+    """(cell_idx, pc): each cell's place on the first n components, absent values as 0.
+
+    The genes' Gram matrix is summed over batches of cells, so the driver holds genes x genes, never cells.
+    """
+    genes = [r[0] for r in normalized.select("gene").distinct().orderBy("gene").collect()]
+    at = F.array_position(F.array(*[F.lit(g) for g in genes]), F.col("gene")).cast("int") - 1
+    cells = normalized.select("cell_idx", at.alias("g"), "x").groupBy("cell_idx").agg(F.collect_list("g").alias("g"), F.collect_list("x").alias("x"))
+    size = len(genes)
+
+    def dense(rows: pd.DataFrame) -> np.ndarray:
+        m = np.zeros((len(rows), size))
+        for row, (g, x) in enumerate(zip(rows["g"], rows["x"], strict=True)):
+            m[row, np.asarray(g, int)] = x
+        return m
+
+    def gram(batches):
+        total = np.zeros((size + 1, size + 1))
+        for rows in batches:
+            m = np.column_stack([dense(rows), np.ones(len(rows))])
+            total += m.T @ m
+        yield pd.DataFrame({"i": np.arange(size + 1), "v": list(total)})
+
+    sums = np.zeros((size + 1, size + 1))
+    parts = cells.mapInPandas(gram, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v"))
+    for r in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        sums[r["i"], r["j"]] = r["v"]
+    count = max(1.0, sums[size, size])
+    mean = sums[size, :size] / count
+    values, vectors = np.linalg.eigh(sums[:size, :size] / count - np.outer(mean, mean))
+    axes = vectors[:, np.argsort(-values)[:n]]
+
+    def project(batches):
+        for rows in batches:
+            yield pd.DataFrame({"cell_idx": rows["cell_idx"], "pc": list((dense(rows) - mean) @ axes)})
+
+    return cells.mapInPandas(project, "cell_idx long, pc array<double>")
+
+
+def cocluster(normalized: DataFrame, coordinates: DataFrame, weight: float = 0.5, k: int = 15, rounds: int = 10, top: int = 2000, components: int = 50) -> DataFrame:
     """(node, label) from a weighted mix of an expression graph and the spatial grid's.
 
-    Expression neighbours are taken by cosine over genes that cells share; grid neighbours are the adjacent bins.
+    Expression neighbours are the nearest cells on principal components of the most dispersed genes; grid neighbours
+    are the adjacent bins.
     """
-    x = normalized.select("cell_idx", "gene", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("cell_idx")))).alias("x"))
-    a, b = x.withColumnsRenamed({"cell_idx": "src", "x": "xa"}), x.withColumnsRenamed({"cell_idx": "dst", "x": "xb"})
-    sim = a.join(b, "gene").filter("src <> dst").groupBy("src", "dst").agg(F.sum(F.col("xa") * F.col("xb")).alias("weight"))
-    w = Window.partitionBy("src").orderBy(F.desc(F.round("weight", 9)), "dst")
-    expression = sim.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+    n_cells = normalized.select("cell_idx").distinct().count()
+    variable = normalized.join(variable_genes(normalized, n_cells, top).select("gene"), "gene", "left_semi")
+    expression = vector_knn(principal_components(variable, components), k, "cell_idx", "pc").select("src", "dst", F.lit(1.0).alias("weight"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
     near = coordinates.withColumn("s", F.explode(steps)).select(F.col("cell_idx").alias("src"), (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
     grid = near.join(coordinates.withColumnRenamed("cell_idx", "dst"), ["row", "col"]).select("src", "dst", F.lit(1.0).alias("weight"))
-    return label_propagation(combine_graphs(expression, grid, weight), rounds)
+    return label_propagation(combine_graphs(expression, grid, weight).persist(), rounds)
 
 
 def impute_genotypes(calls: DataFrame, cells: DataFrame, k: int = 100, threshold: float = 0.66, hold_out: float = 0.0, seed: int = 0, impute_all: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -545,10 +545,10 @@ def off_by_one(spark, d):
 
 @query(None)
 def coclustering(spark, d):
-    li = b.table(spark, d, "lineitem").filter("l_suppkey <= 60")
+    li = b.table(spark, d, "lineitem")
     n = li.groupBy(F.col("l_suppkey").alias("cell_idx"), (F.col("l_partkey") % 40).alias("gene")).agg(F.count(F.lit(1)).alias("n"))
     at = n.select("cell_idx").distinct().select("cell_idx", F.floor(F.col("cell_idx") / 8).alias("row"), (F.col("cell_idx") % 8).alias("col"))
-    return knn.cocluster(knn.log_normalized(n), at, rounds=3)
+    return knn.cocluster(knn.log_normalized(n), at)
 
 
 @query("""with n as (select l_suppkey cell_idx, l_partkey % 40 gene, count(*) n from lineitem group by all), x as (select *, ln(1 + n * 1e4 / sum(n) over (partition by cell_idx)) x from n), c as (select count(distinct l_suppkey) k from lineitem),

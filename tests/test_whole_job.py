@@ -91,3 +91,25 @@ def test_imputation_is_given_every_call(spark, monkeypatch):
     calls, cells, options = given[0]
     assert calls.count() == q.QUERIES["call_genotypes"](spark, "/root/testdata/sf0.001").count() and options["hold_out"] > 0
     assert cells.count() == calls.select("cell_idx").distinct().count()
+
+
+def test_components_keep_distances(spark):
+    import numpy as np
+
+    from probelake.operators import knn
+
+    m = np.random.default_rng(3).integers(0, 4, (30, 6)).astype(float)
+    rows = [(c, g, float(m[c, g])) for c in range(30) for g in range(6) if m[c, g]]
+    got = {r["cell_idx"]: np.array(r["pc"]) for r in knn.principal_components(spark.createDataFrame(rows, "cell_idx long, gene long, x double"), 3).collect()}
+    centred = m - m.mean(0)
+    u, s, v = np.linalg.svd(centred, full_matrices=False)
+    want = centred @ v[:3].T
+    for a in range(30):
+        assert abs(np.linalg.norm(got[a] - got[0]) - np.linalg.norm(want[a] - want[0])) < 1e-9
+
+
+def test_every_cell_is_clustered(spark, tmp_path):
+    items = [(s, p) for s in range(1, 71) for p in range(s % 7, 40, 3)]
+    spark.createDataFrame(items, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = q.coclustering(spark, str(tmp_path)).collect()
+    assert sorted(r["node"] for r in got) == list(range(1, 71))
