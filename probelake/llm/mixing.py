@@ -146,8 +146,9 @@ def mix(df: DataFrame, id: str = "doc_id", source: str = "source", text: str = "
     """``df`` with each row as often as the mix takes it (0 to 3 times)."""
     decided = copies(sizes_of(df, id, source, text), seed).select("mx_id", F.col("mx_source").alias("mx_from"), F.col("mx_size").alias("mx_n"), "mx_copies")
     sized = df.withColumn("mx_size", F.size(words(F.col(text))).cast("long"))
+    decided = cut(decided.filter("mx_copies > 0"))
     on = F.col(id).eqNullSafe(F.col("mx_id")) & F.col(source).eqNullSafe(F.col("mx_from")) & (F.col("mx_size") == F.col("mx_n"))
-    taken = sized.join(decided.filter("mx_copies > 0"), on)
+    taken = sized.join(maybe_broadcast(decided), on)
     return taken.withColumn("mx_copy", F.explode(F.sequence(F.lit(1), F.col("mx_copies").cast("int")))).select(*[F.col(c) for c in df.columns])
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .tokens import Encoder, tokenizer_path
+from .tokens import MEMO_ENTRIES, Encoder, tokenizer_path
 
 LENGTH, WINDOWS, MERGE, END = 4096, 64, 64, 2
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -83,8 +83,8 @@ class Packer:
         return [p for _, key in self.open for p in self.pieces[key]]
 
 
-def pack(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, windows: int = WINDOWS, end: int = END) -> DataFrame:
-    """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, windows: int = WINDOWS, end: int = END, memo: int = MEMO_ENTRIES) -> DataFrame:
+    """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``memo``: see ``Encoder``."""
     kind = df.schema[id].dataType.simpleString()
     tail = end.to_bytes(4, "little")
     names = [id, *COLUMNS, "pk_part", "pk_ids"]
@@ -97,7 +97,7 @@ def pack(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | None
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def run(batches):
-        encoder, part, kind_of = Encoder.at(path or tokenizer_path()), TaskContext.get().partitionId(), pa.int64()
+        encoder, part, kind_of = Encoder.at(path or tokenizer_path(), memo), TaskContext.get().partitionId(), pa.int64()
         packer = Packer(length, windows, part << 32)
         for batch in batches:
             kind_of = batch.schema.field(0).type

@@ -68,7 +68,7 @@ class Encoder:
 
     _open: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -77,13 +77,15 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.by_piece = self._splits_at_space(json.loads(self.library.to_str()))
-        self.memo = Memo()
+        self.memo = Memo(entries)
 
     @classmethod
-    def at(cls, path: str) -> Encoder:
-        """One a process."""
+    def at(cls, path: str, entries: int = MEMO_ENTRIES) -> Encoder:
+        """One a process; a memo of another size starts anew."""
         if path not in cls._open:
-            cls._open[path] = cls(path)
+            cls._open[path] = cls(path, entries)
+        elif cls._open[path].memo.entries != entries:
+            cls._open[path].memo = Memo(entries)
         return cls._open[path]
 
     @staticmethod
