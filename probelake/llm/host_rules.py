@@ -6,7 +6,8 @@ moments over hosts. A host whose shrunk rate reaches ``host_limit`` is bad. A do
 rules fail, or if its host is bad and it fails any rule itself; a document without failures is always kept.
 
 Null text counts as empty; a null host is a host of its own. Empty tables give empty results. Repeated rows count
-each; other columns pass through ``apply_rules`` untouched (its own columns start with ``hr_``).
+each; very long texts are measured whole; a rate that equals the limit is bad. Other columns pass through
+``apply_rules`` untouched, but for names that start with ``hr_``, which are its own and refused.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from .common import cut, let, maybe_broadcast, table, words
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT = 20, 30, 10, 30
 WORD_LENGTH = (3, 10)
 WINDOW = 8
-HOST_LIMIT = 0.5
+#: The shrunk rate from which a host isn't trusted: a tenth of its documents fail some rule.
+HOST_LIMIT = 0.1
 
 
 def repeat_words(ws: Column, window: int = WINDOW) -> Column:
@@ -112,9 +114,11 @@ def apply_rules(df: DataFrame, text: str = "text", host: str = "source", host_li
     A row for each row. The measures are written to the shared folder once, as hosts and verdicts both need them.
     """
     keep = df.columns if keep is None else keep
+    if own := [c for c in df.columns if c.startswith("hr_")]:
+        raise ValueError(f"columns {own}: names that start with hr_ are taken")
     judged = with_failures(measures(df, text)).withColumn("hr_of", F.col(host))
     judged = cut(judged.select(*keep, *[c for c in judged.columns if c.startswith("hr_")]))
-    verdicts = host_verdicts(judged, "hr_of", host_limit).select("hr_host", "hr_rate", "hr_bad")
+    verdicts = cut(host_verdicts(judged, "hr_of", host_limit).select("hr_host", "hr_rate", "hr_bad"))  # a row for each host
     out = judged.join(maybe_broadcast(verdicts), F.col("hr_of").eqNullSafe(F.col("hr_host")), "left").drop("hr_host", "hr_of")
     return out.withColumn("hr_kept", ~F.col("hr_base_failed") & ~(F.col("hr_bad") & F.col("hr_any_failed")))
 
@@ -140,6 +144,6 @@ g as (select *, base_failed or 100 * n_symbols > 10 * n_words or 100 * n_dup_lin
 h as (select source, count(*) d, count(*) filter (any_failed) x from g group by 1),
 p as (select greatest(1e-6, least(1 - 1e-6, sum(x) / sum(d))) mean, var_pop(x / d) v, avg(1 / d) inv from h),
 q as (select mean, greatest(mean * (1 - mean) / greatest(v - mean * (1 - mean) * inv, mean * (1 - mean) * 1e-3) - 1, 1) strength from p),
-bad as (select source, (x + mean * strength) / (d + strength) >= 0.5 b from h, q)
+bad as (select source, (x + mean * strength) / (d + strength) >= 0.1 b from h, q)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (b and any_failed) kept from g join bad on g.source is not distinct from bad.source"""
 }
