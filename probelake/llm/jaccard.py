@@ -7,13 +7,22 @@ prefix, k being a share of n. Postings of at most ``RARE`` classes give all thei
 
 Longer postings belong to frequent tokens. A class with fewer than k of them needs no more, as a partner shares k
 tokens with it of which one is rare. The others are indexed again among themselves with frequent tokens last, which
-a fixed-size bitmap tells, so that their prefixes extend over rarer ones. What still has k frequent tokens can't be told apart by
-an index of k-token combinations, which members of a large group of near copies all share: such classes are taken as
-families of shared frequent tokens, where combinations are counted (all tokens of a pair at once, block by block)
-rather than enumerated. Every candidate is verified on the whole sets.
+a fixed-size bitmap tells, so that their prefixes extend over rarer ones. There, sets of up to ``COMBINE`` tokens are
+indexed on single tokens where those are rare and on combinations of two where they are frequent: the first two
+tokens that partners share lie in both prefixes for k = 2. Larger sets have too many combinations and keep single
+ones (sets just below the bound are in both indexes). Combinations that are still frequent, as those of a large
+group of near copies or of a passage that many texts share, tell nobody apart: only classes that have some are taken
+as families (what shares frequent entries, directly or through others) and compared in blocks, where all shared
+tokens of a pair are counted at once. Every candidate is verified on the whole sets, over all 64 bits.
+
+A token that is frequent within a task's chunk of rows is known to be so before the shuffle: its rows are dealt out at
+random and only a mark of it goes to where the token's other rows meet, so no task gets all rows of a hot token.
 
 Null or wordless text has an empty set and no links; with fewer than five words the whole sequence is the one
-shingle. Rows that repeat an id are taken as one document and each get its row. Empty tables give empty results.
+shingle. Very long texts are whole sets; families are cut into blocks by bytes as well as by number. Rows that repeat
+an id are taken as one document and each get their row; a null id links with nothing. Equal sizes and hashes need no
+tie-break, as classes are named by least ids. Columns but the id and the text are not read, so their names can't
+clash. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,14 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, table
+from .common import cut, discard, maybe_broadcast, table
 from .components import components
-from .hashing import U, window_hashes, word_hashes
+from .hashing import U, mixed, window_hashes, word_hashes
 
 SHINGLE, PERCENT = 5, 75
-RARE, EXTEND, BLOCK, DENSE = 16, 16, 1024, 4096
+RARE, EXTEND, COMBINE, BLOCK, BLOCK_BYTES, DENSE = 16, 16, 256, 1024, 4 << 20, 4096
 BITS = 24
-LIMIT = 32 << 20
+#: Prefix rows that are looked through for hot tokens at once, and products of rows that are counted at once.
+CHUNK, STEP = 1 << 20, 1 << 21
+MARK = -(1 << 63)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -53,11 +64,6 @@ def prefix_size(n: int) -> int:
     return min(n, n - -(-PERCENT * n // 100) + int(extension(n)))
 
 
-def frequent_limit(n):
-    """A class with fewer frequent tokens is done: the least extension of any partner of a set of n."""
-    return np.maximum(1, extension(-(-PERCENT * n // 100)))
-
-
 def classes_of(df: DataFrame, id: str, text: str) -> DataFrame:
     """(id, n, c1, c2): size and digest of each document's set."""
     kind = df.schema[id].dataType.simpleString()
@@ -76,45 +82,89 @@ def classes_of(df: DataFrame, id: str, text: str) -> DataFrame:
     return df.select(id, text).mapInArrow(run, f"`{id}` {kind}, n long, c1 long, c2 long")
 
 
+def entries(s: np.ndarray, late: np.ndarray | None) -> np.ndarray:
+    """What a class is indexed on: its extended prefix, or with ``late`` (the frequent slots) also combinations.
+
+    With ``late``, the lowest bit tells entries of large sets (1) from those of small ones (0), which are kept apart.
+    """
+    n = len(s)
+    if late is None:
+        return s[: prefix_size(n)]
+    often = late[s >> U(64 - BITS)].astype(bool)
+    order = np.argsort(often, kind="stable")
+    s, often, out = s[order], often[order], []
+    if n <= COMBINE:
+        short = min(n, n - -(-PERCENT * n // 100) + 2)
+        rare, busy = s[:short][~often[:short]], s[:short][often[:short]]
+        i, j = np.triu_indices(len(busy), 1)
+        with np.errstate(over="ignore"):
+            both = mixed(busy[i] * U(0x9E3779B97F4A7C15) + mixed(busy[j]))
+        out.append(np.concatenate([rare, both]) & ~U(1))
+    if 4 * n > 3 * COMBINE:
+        out.append(s[: prefix_size(n)] | U(1))
+    return np.unique(np.concatenate(out))
+
+
 def prefixes(docs: DataFrame, frequent: bytes | None = None) -> DataFrame:
-    """(tok, rep, n) over each document's extended prefix; with ``frequent``, tokens of that bitmap come last."""
+    """(tok, rep, n, hot) over each document's entries; with ``frequent``, tokens of that bitmap come last.
+
+    ``hot``: the token is known to be frequent from this task alone. Of each such token there is one more row that
+    isn't hot, with rep ``MARK``, for those who meet its other rows.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(frequent) if frequent else None
 
+    def dealt(toks, reps, sizes):
+        tok, rep, n = (np.concatenate(x) for x in (toks, reps, sizes))
+        kinds, of, counts = np.unique(tok, return_inverse=True, return_counts=True)
+        often = counts > RARE
+        marks = kinds[often]
+        hot = np.concatenate([often[of], np.zeros(len(marks), bool)])
+        tok, rep, n = np.concatenate([tok, marks]), np.concatenate([rep, np.full(len(marks), MARK)]), np.concatenate([n, np.zeros(len(marks), np.int32)])
+        for i in range(0, len(tok), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (tok, rep, n, hot)], names=["tok", "rep", "n", "hot"])
+
     def run(batches):
         late = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little") if bits else None
+        toks, reps, sizes, held = [], [], [], 0
         for batch in batches:
-            toks, reps, sizes = [], [], []
             for rep, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingles(t.as_py())
                 if not len(s):
                     continue
-                if late is not None:
-                    s = s[np.argsort(late[s >> U(64 - BITS)], kind="stable")]
-                s = s[: prefix_size(len(s0 := s))]
-                toks.append(s.view(np.int64))
-                reps.append(np.full(len(s), rep, np.int64))
-                sizes.append(np.full(len(s), len(s0), np.int32))
-            if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, reps, sizes)], names=["tok", "rep", "n"])
+                e = entries(s, late)
+                toks.append(e.view(np.int64))
+                reps.append(np.full(len(e), rep, np.int64))
+                sizes.append(np.full(len(e), len(s), np.int32))
+                held += len(e)
+                if held >= CHUNK:
+                    yield from dealt(toks, reps, sizes)
+                    toks, reps, sizes, held = [], [], [], 0
+        if held:
+            yield from dealt(toks, reps, sizes)
 
-    return docs.mapInArrow(run, "tok long, rep long, n int")
+    return docs.mapInArrow(run, "tok long, rep long, n int, hot boolean")
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """From (tok, rep, n): pairs of rare tokens (0, a, b, times met) and rows of frequent ones (1, tok, rep, n).
+    """From (tok, rep, n, hot): pairs of rare tokens (0, a, b, times met) and rows of frequent ones (1, tok, rep, n).
 
-    One shuffle by token; then a stream over sorted rows that holds at most RARE rows of a token.
+    One shuffle, by token but for hot rows, which go anywhere; then a stream over sorted rows that holds at most RARE
+    rows of a token.
     """
 
     def run(batches):
         keep = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
         hot = None  # the token of a posting known to be frequent, whose rows go straight out
         for batch in batches:
-            tok, rep, n = (np.concatenate([k, c.to_numpy()]) for k, c in zip(keep, batch.columns))
+            known = batch.column(3).to_numpy(zero_copy_only=False)
+            cols = [c.to_numpy() for c in batch.columns[:3]]
+            if known.any():
+                yield out(1, *(c[known] for c in cols))
+            tok, rep, n = (np.concatenate([k, c[~known]]) for k, c in zip(keep, cols))
             if len(tok):
                 yield from settle(tok, rep, n, hot, False)
                 last = tok == tok[-1]
-                if hot is not None and tok[-1] == hot or last.sum() > RARE:
+                if hot is not None and tok[-1] == hot or last.sum() > RARE or (rep[last] == MARK).any():
                     hot, keep = tok[-1], [x[:0] for x in (tok, rep, n)]
                 else:
                     hot, keep = None, [x[last] for x in (tok, rep, n)]
@@ -125,7 +175,7 @@ def postings(rows: DataFrame) -> DataFrame:
         cuts = np.flatnonzero(np.diff(tok)) + 1
         first, stop = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(tok)]])
         size = stop - first
-        is_hot = size > RARE
+        is_hot = (size > RARE) | (rep[first] == MARK)  # marks sort first
         if hot is not None and tok[0] == hot:
             is_hot[0] = True
         open_run = np.zeros(len(first), bool)
@@ -138,34 +188,30 @@ def postings(rows: DataFrame) -> DataFrame:
             x, y = rep[x[fits]], rep[y[fits]]
             pairs, met = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1, return_counts=True)
             yield out(0, pairs[0], pairs[1], met.astype(np.int32))
-        at = np.repeat(is_hot, size)
+        at = np.repeat(is_hot, size) & (rep != MARK)
         if at.any():
             yield out(1, tok[at], rep[at], n[at])
 
     def out(kind, x, y, n):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y), pa.array(n)], names=["kind", "x", "y", "n"])
 
-    return rows.repartition("tok").sortWithinPartitions("tok", "rep").mapInArrow(run, "kind int, x long, y long, n int")
+    rows = rows.repartition(F.when(F.col("hot"), F.xxhash64("rep", "tok")).otherwise(F.col("tok")))
+    return rows.sortWithinPartitions("hot", "tok", "rep").mapInArrow(run, "kind int, x long, y long, n int")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(rep, s): each set's tokens, ascending, by their upper 40 bits."""
+    """(rep, s): each set's tokens, ascending, 8 bytes each."""
 
     def run(batches):
         for batch in batches:
-            s = [_pack(shingles(t.as_py())) for t in batch.column(1)]
+            s = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], names=["rep", "s"])
 
     return docs.mapInArrow(run, "rep long, s binary")
 
 
-def _pack(s: np.ndarray) -> bytes:
-    return (s >> U(32)).astype("<u4").tobytes() + ((s >> U(24)) & U(255)).astype(np.uint8).tobytes()
-
-
 def _unpack(b: bytes) -> np.ndarray:
-    n = len(b) // 5
-    return (np.frombuffer(b, "<u4", n).astype(np.int64) << 8) | np.frombuffer(b, np.uint8, n, 4 * n)
+    return np.frombuffer(b, np.uint64)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -200,10 +246,15 @@ def _bitmap(toks: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _busy(hot: DataFrame) -> DataFrame:
-    """(rep, n) of classes with k frequent tokens or more; ``hot`` is (tok, rep, n)."""
+def _busy(hot: DataFrame, combined: bool = False) -> DataFrame:
+    """(rep, n) of classes that frequent tokens may still link; ``hot`` is (tok, rep, n).
+
+    Those with as many as any partner shares with them in its prefix, or with one that is an entry of small sets.
+    """
     limit = F.greatest(F.lit(1), F.floor(F.ceil(PERCENT * F.col("n") / 100) / EXTEND))
-    return hot.groupBy("rep").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).filter(F.col("m") >= limit).select("rep", "n")
+    large = F.col("tok").bitwiseAND(1) == 1 if combined else F.lit(True)
+    counts = hot.groupBy("rep").agg(F.count_if(large).alias("m"), F.count_if(~large).alias("few"), F.max("n").alias("n"))
+    return counts.filter((F.col("m") >= limit) | (F.col("few") > 0)).select("rep", "n")
 
 
 def plausible(found: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -214,7 +265,7 @@ def plausible(found: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     hot = found.filter("kind = 1").groupBy(F.col("y").alias("rep")).agg(F.count(F.lit(1)).alias("m"))
     known = cut(sizes.select("rep", "n").join(hot, "rep", "left").select("rep", "n", F.coalesce("m", F.lit(0)).alias("m")))
-    of = lambda c: maybe_broadcast(known, LIMIT).toDF(c, f"n{c}", f"m{c}")
+    of = lambda c: maybe_broadcast(known).toDF(c, f"n{c}", f"m{c}")
     met = found.filter("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("met"))
     met = met.join(of("a"), "a").join(of("b"), "b")
     left = lambda n: F.ceil(PERCENT * F.col(n) / 100) - F.greatest(F.lit(1), F.floor(F.col(n) / EXTEND))
@@ -228,44 +279,50 @@ def classes_and_links(df: DataFrame, id: str = "doc_id", text: str = "text") ->
     base = cut(classes_of(df, id, text))
     reps = base.filter(F.col(id).isNotNull() & (F.col("n") > 0)).groupBy("n", "c1", "c2").agg(F.min(id).cast("long").alias("rep"))
     reps = cut(reps)
-    mapped = base.join(maybe_broadcast(reps, LIMIT), ["n", "c1", "c2"], "left").select(id, "n", "rep")
+    mapped = base.join(maybe_broadcast(reps), ["n", "c1", "c2"], "left").select(id, "n", "rep")
 
     def texts(chosen: DataFrame) -> DataFrame:
-        return docs.join(maybe_broadcast(chosen, LIMIT), "rep", "left_semi")
+        return docs.join(maybe_broadcast(chosen), "rep", "left_semi")
+
+    def hot_of(found: DataFrame) -> DataFrame:
+        return found.filter("kind = 1").select(F.col("x").alias("tok"), F.col("y").alias("rep"), "n")
 
     first = cut(postings(prefixes(texts(reps.select("rep")))))
-    hot = first.filter("kind = 1").select(F.col("x").alias("tok"), F.col("y").alias("rep"), "n")
     pairs = plausible(first, reps)
-    busy = cut(_busy(hot))
-    again = None
-    if busy.limit(1).count():  # frequent tokens last, among the classes that have many
-        again = cut(postings(prefixes(texts(busy.select("rep")), _bitmap(hot.select("tok")))))
-        hot = again.filter("kind = 1").select(F.col("x").alias("tok"), F.col("y").alias("rep"), "n")
-        pairs = pairs.union(plausible(again, reps))
-        hot = cut(hot.join(maybe_broadcast(cut(_busy(hot).select("rep")), LIMIT), "rep", "left_semi"))
+    busy, again, hot = cut(_busy(hot_of(first))), None, None
+    if busy.limit(1).count():  # frequent tokens last and combined, among the classes that have many
+        again = cut(postings(prefixes(texts(busy.select("rep")), _bitmap(hot_of(first).select("tok")))))
+        pairs = pairs.union(again.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        hot = hot_of(again)
+        hot = cut(hot.join(maybe_broadcast(cut(_busy(hot, True).select("rep"))), "rep", "left_semi"))
     pairs = cut(pairs.distinct())
+    discard(first, *([again] if again else []))
     some = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
-    if again is not None:
+    if hot is not None:
         some = some.union(hot.select("rep"))
     sets = cut(sets_of(texts(cut(some.distinct()))))
     links = cut(verified(pairs, sets))
-    if again is None or not hot.limit(1).count():
-        return mapped, links
-    return mapped, links.union(cut(family_links(hot, sets)))
+    if hot is not None and hot.limit(1).count():
+        links = links.union(cut(family_links(hot, sets)))
+        discard(hot)
+    discard(sets, pairs)
+    return mapped, links
 
 
 def family_links(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what is linked among classes with many frequent tokens; ``hot`` is (tok, rep, n).
+    """Links (a, b) that connect what is linked among classes with frequent entries; ``hot`` is (tok, rep, n).
 
-    Classes that share frequent tokens, directly or through others, are a family. A family is cut into blocks of BLOCK
-    classes, and a task gets two blocks: it counts shared tokens of all their pairs in matrices and returns a spanning
-    forest of the links, so no pairs are emitted and a task's size is fixed.
+    Classes that share frequent entries, directly or through others, are a family. A family is cut into blocks of
+    BLOCK classes and BLOCK_BYTES at most, about, and a task gets two blocks: it counts shared tokens of all their
+    pairs in matrices and returns a spanning forest of the links, so no pairs are emitted and a task's size is fixed.
     """
-    least = hot.groupBy("tok").agg(F.min("rep").alias("b"))
-    shared = hot.join(least, "tok").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    least = cut(hot.groupBy("tok").agg(F.min("rep").alias("b")))
+    shared = hot.join(maybe_broadcast(least), "tok").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     families = components(cut(shared))
-    sizes = families.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = families.withColumnRenamed("node", "rep").join(sizes, "comp").join(sets, "rep")
+    rows = families.withColumnRenamed("node", "rep").join(sets, "rep")
+    blocks = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("s")) / BLOCK_BYTES)
+    sizes = cut(rows.groupBy("comp").agg(F.ceil(blocks).cast("int").alias("blocks")))
+    rows = rows.join(maybe_broadcast(sizes), "comp")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "s")
@@ -311,9 +368,12 @@ def similar(sa: list[np.ndarray], sb: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(tb, kind="stable")
     tb, db = tb[order], db[order]
     begin, n = np.searchsorted(tb, ta), cb[ta]
-    at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    flat = np.repeat(da, n) * len(sb) + db[at]
-    shared += np.bincount(flat, minlength=shared.size).reshape(shared.shape)
+    parts = np.searchsorted(np.cumsum(n), np.arange(STEP, n.sum() + STEP, STEP))
+    for i, j in zip(np.append(0, parts), np.append(parts, len(ta))):  # so many products at once
+        m = n[i:j]
+        at = np.repeat(begin[i:j] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        flat = np.repeat(da[i:j], m) * len(sb) + db[at]
+        shared += np.bincount(flat, minlength=shared.size).reshape(shared.shape)
     return 100 * shared >= PERCENT * (na[:, None] + nb[None] - shared)
 
 
@@ -341,7 +401,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     """(id, n_shingles, component_id) for each row."""
     mapped, links = classes_and_links(df, id, text)
     comps = components(cut(links))
-    out = mapped.join(maybe_broadcast(comps, LIMIT), F.col("rep") == F.col("node"), "left")
+    out = mapped.join(maybe_broadcast(comps), F.col("rep") == F.col("node"), "left")
     return out.select(id, F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", F.col(id).cast("long")).alias("component_id"))
 
 
