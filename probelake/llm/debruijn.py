@@ -1,135 +1,228 @@
 """Substring dedup over the de Bruijn graph of word windows.
 
-A window (35 words) is an edge. Rather than to list every edge, each document is cut into nonbranching paths: maximal
-runs of windows that share their minimizer (the window's least 8-word hash, its first occurrence), each known by its
-minimizer and the hash of all its words. Equal windows have equal minimizers. So a path found twice repeats all its
-windows; a path whose minimizer has no other path repeats none; only where one minimizer has several paths does the
-graph branch, and only those paths are opened, one copy of each, into windows that are compared one by one. Removed
-words come from the source coordinates of repeated paths and windows, taken back to each document's words.
-
-Hashes are compared over 96 bits. Minimizers that hold more than a thousandth of all paths are dealt to SALTS groups at
-random, and one copy of each of their paths in each group is opened, so no task holds a hot one. Windows are judged on the input alone.
-
-Null text has no words; documents of fewer words than a window lose none. Rows that repeat an id are taken as copies
-of one document: their windows repeat, and each gets its row. Empty tables give empty results.
+A window of 35 words is an edge, between the 34-word sequences that it starts and ends with. Windows meet by a 64-bit
+hash, with where they start and marks of the windows before and after. An edge found once is of no interest. Where all
+occurrences of a repeated edge have the same neighbour on a side, the graph doesn't branch there: a document's
+repeated edges are compacted, by a join on its key, into nonbranching paths, cut where a neighbour differs and where
+repeats end. So a passage shared by many texts is one path with one row a text, however long it is.
+
+Hashes only propose. Paths go back to the words at their source coordinates: two of equal words, by a 128-bit
+cryptographic digest, are repeats. A path that no other equals (hashes may collide, and a hot edge may have been cut
+elsewhere) is opened: all occurrences of its windows, in whatever path, are compared by digests of their words.
+
+An edge found often in one task's chunk of rows is hot: its rows take the neighbours known there, go anywhere at
+random, and one row for all of them goes to where its other occurrences meet. So no task gets all rows of a hot edge.
+Windows are judged on the input alone.
+
+Rows are known by a hash of id and text, so null ids and ids that repeat with other texts are rows like others; equal
+rows are copies, and each gets its row. Null text has no words; texts of fewer words than a window lose none. Very
+long texts are taken whole. Empty tables give empty results. Only the id and the text are read, so other columns'
+names can't clash.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, table
-from .hashing import U, mixed, run_hashes, sliding_first_min, window_hashes, word_hashes
+from .common import cut, discard, maybe_broadcast, table
+from .hashing import U, window_hashes, word_hashes
 
-WINDOW, KMER = 35, 8
-HOT_SHARE, HOT_LEAST, SALTS = 1000, 1000, 64
-LIMIT = 16 << 20
-_OTHER = U(0xA0761D6478BD642F)
+WINDOW = 35
+#: Occurrences in a chunk of so many rows that make an edge hot.
+HOT, CHUNK = 16, 1 << 20
+#: Marks of neighbours: what is beyond a text's end, and what differs among the rows that a row stands for.
+NONE, SEVERAL = 1 << 16, (1 << 16) + 1
 
 
-def _words(t) -> np.ndarray:
-    return word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass"))
+def _bytes(t) -> bytes:
+    return (t.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def paths(df: DataFrame, id: str, text: str, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """(m, s1, s2, id, first, n): minimizer, path hashes, and where the path's n windows start."""
-    kind = df.schema[id].dataType.simpleString()
-    names = ["m", "s1", "s2", "sd_id", "first", "n"]
+def keyed(df: DataFrame, id: str, text: str) -> DataFrame:
+    return df.select(F.xxhash64(id, text).alias("db_key"), F.col(id).alias("db_id"), F.col(text).alias("db_text"))
+
+
+def edges(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(h, before, after, key, at, kind) of every window: kind 0; 1 if hot; 2 for the row that stands for a chunk's hot ones."""
+
+    def dealt(parts):
+        h, before, after, key, at = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(h, kind="stable")
+        h, before, after, key, at = (x[order] for x in (h, before, after, key, at))
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(first, len(h)))
+        often = size > HOT
+        kind = np.repeat(often, size).astype(np.int8)
+        one = lambda x: np.where(np.minimum.reduceat(x, first) == np.maximum.reduceat(x, first), x[first], SEVERAL)[often]
+        b, a = one(before), one(after)
+        hot = np.flatnonzero(kind)
+        if len(hot):  # hot rows know their neighbours' marks as far as the chunk tells
+            before[hot], after[hot] = np.repeat(b, size[often]), np.repeat(a, size[often])
+            n = len(b)
+            h, before, after = np.concatenate([h, h[first][often]]), np.concatenate([before, b]), np.concatenate([after, a])
+            key, at, kind = np.concatenate([key, np.zeros(n, np.int64)]), np.concatenate([at, np.zeros(n, np.int32)]), np.concatenate([kind, np.full(n, 2, np.int8)])
+        for i in range(0, len(h), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (h, before, after, key, at, kind)], names=["h", "before", "after", "key", "at", "kind"])
 
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
-            got, ids = [], []
-            for doc, t in zip(batch.column(0), batch.column(1)):
-                h = _words(t)
-                if len(h) < window:
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = window_hashes(word_hashes(_bytes(t)), window)
+                if not len(h):
                     continue
-                k = window_hashes(h, kmer)
-                at = sliding_first_min(k, window - kmer + 1)
-                first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-                n = np.diff(np.append(first, len(at)))
-                s = run_hashes(h, first, first + n + window - 1)
-                s = mixed(s + (at[first] - first).astype(np.uint64))
-                other = run_hashes(mixed(h ^ _OTHER), first, first + n + window - 1)
-                got.append((k[at[first]], s, other, first, n))
-                ids.append(pa.array([doc.as_py()] * len(first), batch.schema.field(0).type))
-            if got:
-                m, s, other, first, n = (np.concatenate(x) for x in zip(*got))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(m.view(np.int64)), pa.array(s.view(np.int64)), pa.array((other >> U(32)).astype(np.uint32).view(np.int32)), pa.concat_arrays(ids), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=names
-                )
-
-    return df.select(id, text).mapInArrow(run, f"m long, s1 long, s2 int, sd_id {kind}, first int, n int")
-
-
-def _opened(texts: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, sd_id, at): hashes of the windows of (sd_id, sd_text, spans)."""
-    kind = texts.schema["sd_id"].dataType.simpleString()
+                mark = (h >> U(48)).astype(np.int32)
+                end = np.full(1, NONE, np.int32)
+                parts.append((h.view(np.int64), np.concatenate([end, mark[:-1]]), np.concatenate([mark[1:], end]), np.full(len(h), key, np.int64), np.arange(len(h), dtype=np.int32)))
+                held += len(h)
+                if held >= CHUNK:
+                    yield from dealt(parts)
+                    parts, held = [], 0
+        if held:
+            yield from dealt(parts)
+
+    return texts.select("db_key", "db_text").mapInArrow(run, "h long, before int, after int, key long, at int, kind byte")
+
+
+def repeated(found: DataFrame) -> DataFrame:
+    """(h, key, at, opens, ends) of occurrences of edges that are found more than once: whether a path is cut before, and after."""
+    names = ["h", "key", "at", "opens", "ends"]
+
+    def run(batches):
+        keep = None
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            hot = cols[5] == 1
+            if hot.any():
+                h, before, after, key, at = (c[hot] for c in cols[:5])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, key, at, before >= NONE, after >= NONE)], names=names)
+            cols = [c[~hot] for c in cols]
+            if keep is not None:
+                cols = [np.concatenate(x) for x in zip(keep, cols)]
+            if len(cols[0]):
+                last = cols[0] == cols[0][-1]  # its rows may go on: those that aren't hot, and one a chunk for hot ones
+                keep = [c[last] for c in cols]
+                yield from settle([c[~last] for c in cols])
+        if keep is not None:
+            yield from settle(keep)
+
+    def settle(cols):
+        h, before, after, key, at, kind = cols
+        if not len(h):
+            return
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(first, len(h)))
+        twice = np.add.reduceat(np.where(kind == 2, 2, 1), first) > 1
+        cuts = lambda x: np.repeat((np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)) | (np.maximum.reduceat(x, first) >= NONE), size)
+        stay = np.repeat(twice, size) & (kind == 0)
+        yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (h, key, at, cuts(before), cuts(after))], names=names)
+
+    dealt = found.repartition(F.when(F.col("kind") == 1, F.xxhash64("key", "at")).otherwise(F.col("h")))
+    return dealt.sortWithinPartitions(F.col("kind") == 1, "h").mapInArrow(run, "h long, key long, at int, opens boolean, ends boolean")
+
+
+def paths(edges_: DataFrame) -> DataFrame:
+    """(key, path): each row's repeated edges compacted, an array of (first, n): n windows from the word ``first`` on."""
+
+    def run(batches):
+        keep = None
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if keep is not None:
+                cols = [np.concatenate(x) for x in zip(keep, cols)]
+            if len(cols[0]):
+                last = cols[0] == cols[0][-1]
+                keep = [c[last] for c in cols]
+                yield from settle(*(c[~last] for c in cols))
+        if keep is not None:
+            yield from settle(*keep)
+
+    def settle(key, at, opens, ends):
+        if not len(key):
+            return
+        same = np.concatenate([[False], (key[1:] == key[:-1]) & (at[1:] == at[:-1])])  # of equal rows
+        key, at, opens, ends = (x[~same] for x in (key, at, opens, ends))
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1) | opens[1:] | ends[:-1]])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(at)))
+        yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(at[first]), pa.array(n.astype(np.int32))], names=["key", "first", "n"])
+
+    rows = edges_.select("key", "at", "opens", "ends").repartition("key").sortWithinPartitions("key", "at").mapInArrow(run, "key long, first int, n int")
+    return rows.groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("path"))
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def digests(texts: DataFrame, window: int, single: bool = False) -> DataFrame:
+    """(digest, key, first, n) of the words of (db_key, db_text, path); ``single``: of each window on its own."""
 
     def run(batches):
         for batch in batches:
-            w1, w2, at, ids = [], [], [], []
-            for doc, t, spans in zip(*batch.columns):
-                h = _words(t)
-                a, b = window_hashes(h, window), window_hashes(mixed(h ^ _OTHER), window)
-                p = np.unique(np.concatenate([np.arange(x["first"], x["first"] + x["n"]) for x in spans.as_py()]))
-                w1.append(a[p]), w2.append(b[p]), at.append(p)
-                ids.append(pa.array([doc.as_py()] * len(p), batch.schema.field(0).type))
-            if w1:
-                w1, w2, at = (np.concatenate(x) for x in (w1, w2, at))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1.view(np.int64)), pa.array((w2 >> U(32)).astype(np.uint32).view(np.int32)), pa.concat_arrays(ids), pa.array(at.astype(np.int32))], names=["w1", "w2", "sd_id", "at"]
-                )
-
-    return texts.mapInArrow(run, f"w1 long, w2 int, sd_id {kind}, at int")
-
-
-def repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """(sd_id, spans): for each document with any, the (first, n) of windows that also start elsewhere."""
-    found = cut(paths(df, id, text, window, kmer))
-    counts = found.groupBy("m").agg(F.count(F.lit(1)).alias("c"))
-    limit = max(HOT_LEAST, found.count() // HOT_SHARE)
-    hot = [r["m"] for r in counts.filter(F.col("c") > limit).select("m").collect()]  # at most HOT_SHARE rows
-    is_hot = F.col("m").isin(hot) if hot else F.lit(False)
-    salted = found.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("sd_id", "first"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    group = Window.partitionBy("m", "salt")
-    w = group.orderBy("s1", "s2", "n")
-    same = lambda f: F.coalesce((f("s1").over(w) == F.col("s1")) & (f("s2").over(w) == F.col("s2")) & (f("n").over(w) == F.col("n")), F.lit(False))
-    key = F.struct("s1", "s2", "n")
-    judged = salted.withColumns({"before": same(F.lag), "after": same(F.lead), "lo": F.min(key).over(group), "hi": F.max(key).over(group)})
-    judged = judged.withColumn("twice", F.col("before") | F.col("after"))
-    judged = judged.withColumn("branch", (is_hot | (F.col("lo") != F.col("hi"))) & ~F.col("before"))
-    judged = cut(judged.filter("twice or branch").select("sd_id", "first", "n", "twice", "branch"))
-    spans = lambda d: d.groupBy("sd_id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    branching = cut(spans(judged.filter("branch")))
-    texts = df.select(F.col(id).alias("sd_id"), F.col(text).alias("sd_text"))
-    opened = cut(_opened(texts.join(maybe_broadcast(branching, LIMIT), "sd_id").select("sd_id", "sd_text", "spans"), window))
-    twice = opened.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2")
-    single = opened.join(twice, ["w1", "w2"], "left_semi").select("sd_id", F.col("at").alias("first"), F.lit(1).alias("n"))
-    return cut(spans(judged.filter("twice").select("sd_id", "first", "n").union(single)))
-
-
-def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+            out: list[list] = [[], [], [], []]
+            for key, t, path in zip(*batch.columns):
+                ws = _bytes(t).split()
+                for x in path.as_py():
+                    for first, n in [(x["first"] + i, 1) for i in range(x["n"])] if single else [(x["first"], x["n"])]:
+                        if first + n + window - 1 <= len(ws):
+                            for col, v in zip(out, (_digest(ws[first : first + n + window - 1]), key.as_py(), first, n)):
+                                col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int32(), pa.int32()))], names=["digest", "key", "first", "n"])
+
+    return texts.mapInArrow(run, "digest binary, key long, first int, n int")
+
+
+def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, path): for each row of ``keyed`` with any, the (first, n) of windows that also start elsewhere."""
+    found = cut(repeated(edges(texts, window)))
+    made = cut(paths(found))
+
+    def at(chosen: DataFrame) -> DataFrame:
+        return texts.join(maybe_broadcast(chosen), F.col("db_key") == F.col("key")).select("db_key", "db_text", "path")
+
+    seen = cut(digests(at(made), window))
+    counts = seen.groupBy("digest", "n").agg(F.count(F.lit(1)).alias("c"))
+    sure = cut(seen.join(maybe_broadcast(cut(counts.filter("c = 1").select("digest", "n"))), ["digest", "n"], "left_anti").select("key", "first", "n"))
+    alone = cut(made.select("key", F.explode("path").alias("p")).select("key", "p.first", "p.n").join(sure, ["key", "first", "n"], "left_anti"))
+    if alone.limit(1).count():
+        opened = alone.select("key", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("at"))
+        edges_ = cut(found.join(maybe_broadcast(cut(opened)), ["key", "at"], "left_semi").select("h").distinct())
+        every = found.join(maybe_broadcast(edges_), "h", "left_semi").groupBy("key").agg(F.collect_set(F.struct(F.col("at").alias("first"), F.lit(1).alias("n"))).alias("path"))
+        single = cut(digests(at(cut(every)), window, True))
+        twice = single.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest")
+        sure = sure.unionByName(single.join(maybe_broadcast(cut(twice)), "digest", "left_semi").select("key", "first", "n"))
+    out = cut(sure.distinct().groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("path")))
+    discard(found, made, seen)
+    return out
+
+
+def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, n_words, n_removed, kept): kept words joined by one space, for each row."""
-    spans = repeats(df, id, text, window, kmer)
-    texts = df.select(F.col(id), F.col(text)).join(maybe_broadcast(spans, LIMIT), F.col(id).eqNullSafe(F.col("sd_id")), "left").select(id, text, "spans")
     kind = df.schema[id].dataType.simpleString()
+    texts = keyed(df, id, text)
+    texts = texts.join(maybe_broadcast(repeats(texts, window)), F.col("db_key") == F.col("key"), "left").select("db_id", "db_text", "path")
     names = [id, "n_words", "n_removed", "kept"]
 
     def run(batches):
         for batch in batches:
             n, gone, kept = [], [], []
             for t, found in zip(batch.column(1), batch.column(2)):
-                ws = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
+                ws = _bytes(t).split()
                 n.append(len(ws))
                 found = found.as_py()
                 if found:
                     edge = np.zeros(len(ws) + 1, np.int64)
                     first = np.array([x["first"] for x in found])
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + np.array([x["n"] for x in found]) + window - 1, -1)
+                    end = first + np.array([x["n"] for x in found]) + window - 1
+                    inside = end <= len(ws)
+                    np.add.at(edge, first[inside], 1)
+                    np.add.at(edge, end[inside], -1)
                     stay = np.cumsum(edge[:-1]) == 0
                     gone.append(int(len(ws) - stay.sum()))
                     ws = [ws[i] for i in np.flatnonzero(stay)]

@@ -2,16 +2,21 @@
 
 Terms are the distinct lower-cased words of a text, as 64-bit hashes. Document frequencies are counted by term over
 all documents. The terms in the band are never held in one place: each range of ids (below) gets those that its texts
-have, in ``BUCKETS`` buckets to look them up by. A text's terms in the band are sorted; where fewer than ``FEWEST`` are, all its terms count. Each subset of the lexicon keeps
-a term at random with a fixed rate (``REPEATS`` subsets at each of ``RATES``), and hashes what it keeps of the sorted
-terms. The fingerprint is those hashes; the likeness of two is the share of equal ones among subsets that keep a term
-of either text. Small rates compare texts that differ much, large ones tell near copies apart.
+have, in ``BUCKETS`` buckets to look them up by. As a range's texts are together anyway, this takes no shuffle of terms
+where the lexicon is small enough to broadcast, by its counted rows; else terms meet the lexicon by a shuffle.
+A text's terms in the band are sorted; where fewer than ``FEWEST`` are, all its terms count. Each subset of the lexicon
+keeps a term at random with a fixed rate (``REPEATS`` subsets at each of ``RATES``), and hashes what it keeps of the
+sorted terms. The fingerprint is those hashes; the likeness of two is the share of equal ones among subsets that keep a
+term of either text. Small rates compare texts that differ much, large ones tell near copies apart.
 
 The next document (ascending id, null last; after the last the first) comes from windows over ranges of ids, each
-with a copy of the next range's first row, so no task holds more than a range.
+with a copy of the next range's first row, so no task holds more than a range. Its fingerprint comes the same way, so
+each text is fingerprinted once.
 
 Null text counts as empty, with the fingerprint of no terms; equal texts have equal fingerprints; rows that repeat
-an id are ordered by text. Empty tables give empty results. Columns of its own start with ``im_``.
+an id are ordered by text, and rows that agree in both are alike in what follows them as well. Very long texts are
+taken whole. Empty tables give empty results. Only the id and the text are read, so other columns' names can't clash;
+columns of its own start with ``im_``.
 """
 
 from __future__ import annotations
@@ -21,9 +26,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, table
+from .common import SPACES, cut, discard, let, maybe_broadcast, table
 
-BUCKETS, FEWEST = 1 << 12, 4
+BUCKETS, FEWEST = 1 << 13, 4
 #: Documents that may hold a term: at most this share, at least this share and number.
 MOST_SHARE, LEAST_SHARE, LEAST_DOCS = 0.1, 1e-5, 2
 RATES, REPEATS = (1, 3, 5, 7, 9), 6  # powers of 1/2
@@ -47,14 +52,17 @@ def bucket(term: Column) -> Column:
     return term.bitwiseAND(BUCKETS - 1).cast("int")
 
 
-def with_lexicon(rows: DataFrame, lex: DataFrame, *texts: str) -> DataFrame:
-    """``rows`` with im_lex: the lexicon's terms that texts of the row's range have, an array of ``BUCKETS`` arrays."""
+def held_terms(rows: DataFrame, lex: DataFrame, *texts: str) -> DataFrame:
+    """(im_range, im_lex) for rows that lie by im_range: the lexicon's terms that a range's texts have, an array of ``BUCKETS`` arrays."""
     used = rows.select("im_range", F.explode(F.array_distinct(F.flatten(F.array(*[terms(F.col(t)) for t in texts])))).alias("term")).distinct()
-    used = used.join(lex, "term", "left_semi").select("im_range", bucket(F.col("term")).alias("b"), "term")
-    every = rows.select("im_range").distinct().select("im_range", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("b"), F.lit(None).cast("long").alias("term"))
-    held = used.unionByName(every).groupBy("im_range", "b").agg(F.collect_list("term").alias("ts"))
-    held = held.groupBy("im_range").agg(F.array_sort(F.collect_list(F.struct("b", "ts"))).alias("im_lex"))
-    return rows.join(held.select("im_range", F.col("im_lex.ts").alias("im_lex")), "im_range")
+    used = used.join(maybe_broadcast(lex), "term", "left_semi").select("im_range", bucket(F.col("term")).alias("b"), "term")
+    held = used.groupBy("im_range", "b").agg(F.collect_list("term").alias("ts")).groupBy("im_range").agg(F.map_from_entries(F.collect_list(F.struct("b", "ts"))).alias("m"))
+    return held.select("im_range", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.array().cast("array<bigint>"))).alias("im_lex"))
+
+
+def with_lexicon(rows: DataFrame, lex: DataFrame, *texts: str) -> DataFrame:
+    """``rows`` with im_lex of their range, null where none of its texts has a term of the lexicon."""
+    return rows.join(cut(held_terms(rows, lex, *texts)), "im_range", "left")
 
 
 def fingerprint(text: Column, lex: Column) -> Column:
@@ -69,7 +77,7 @@ def fingerprint(text: Column, lex: Column) -> Column:
         return let(kept, lambda k: F.when(F.size(k) > 0, F.xxhash64(k).bitwiseAND(0xFFFFFFFF)).otherwise(F.lit(0).cast("long")))
 
     def banded(all_terms: Column) -> Column:
-        inside = F.filter(all_terms, lambda t: F.array_contains(F.get(lex, bucket(t)), t))
+        inside = F.filter(all_terms, lambda t: F.coalesce(F.array_contains(F.get(lex, bucket(t)), t), F.lit(False)))
         return let(inside, lambda k: F.array_sort(F.when(F.size(k) >= FEWEST, k).otherwise(all_terms)))
 
     return let(terms(text), lambda ts: let(banded(ts), hashes))
@@ -84,8 +92,12 @@ def as_text(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
-def with_next(df: DataFrame, id: str, text: str, ranges: int | None = None) -> DataFrame:
-    """(id, text, im_range, im_next): the next row's text is taken by id."""
+def order(id: str, text: str):
+    return Window.partitionBy("im_range").orderBy("im_copy", F.col(id).asc_nulls_last(), F.coalesce(F.col(text), F.lit("")))
+
+
+def with_next(df: DataFrame, id: str, text: str, ranges: int | None = None, copies: bool = False) -> DataFrame:
+    """(id, text, im_range, im_next): the next row's text is taken by id. With ``copies``, also the ranges' copied rows, with im_copy 1."""
     spark = df.sparkSession
     ranges = ranges or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = df.select(id).filter(F.col(id).isNotNull())
@@ -110,24 +122,37 @@ def with_next(df: DataFrame, id: str, text: str, ranges: int | None = None) -> D
         at = of(F.col(id))
         extra = heads.withColumn("im_range", F.when(at == 0, F.lit(last)).otherwise(at - 1))
     rows = ranged.withColumn("im_copy", F.lit(0)).unionByName(extra.withColumn("im_copy", F.lit(1)))
-    w = Window.partitionBy("im_range").orderBy("im_copy", F.col(id).asc_nulls_last(), F.coalesce(F.col(text), F.lit("")))
-    rows = rows.withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn("im_next", F.lead(text).over(w))
-    return rows.filter("im_copy = 0").drop("im_copy")
+    rows = rows.withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn("im_next", F.lead(text).over(order(id, text)))
+    return rows if copies else rows.filter("im_copy = 0").drop("im_copy")
 
 
-def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = with_next(docs, "doc_id", "text")
-    n = F.length("text")
+def edited(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` (with im_next) with im_text, the edited text, and im_splice, the words in it that neither text need have."""
+    n = F.length(text)
     half = F.floor(n / 2).cast("int")
-    rows = rows.withColumn("im_text", F.concat(F.col("text").substr(F.lit(1), n - half), F.col("im_next").substr(F.lit(1), half)))
-    rows = with_lexicon(rows, lexicon(docs), "text", "im_next", "im_text")
-    prints = {f"im_{k}": fingerprint(F.col(t), F.col("im_lex")) for k, t in (("own", "text"), ("edited", "im_text"), ("next_own", "im_next"))}
-    rows = rows.select("doc_id", "text", "im_text", *[v.alias(k) for k, v in prints.items()])
+    own, after = F.col(text).substr(F.lit(1), n - half), F.coalesce("im_next", F.lit("")).substr(F.lit(1), half)
+    words = F.split(after, SPACES, -1)
+    splice = F.concat(F.element_at(F.split(own, SPACES, -1), -1), words[0], F.lit(" "), F.element_at(words, -1))
+    return df.withColumns({"im_text": F.concat(own, after), "im_splice": splice})
+
+
+def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text, im_text, im_own, im_edited, im_after): a row's fingerprint, its edited text's, and the next row's."""
+    lex = cut(lexicon(df, text))
+    rows = edited(with_next(df, id, text, copies=True), text)
+    held = cut(held_terms(rows, lex, text, "im_splice"))
+    discard(lex)
+    rows = rows.drop("im_splice", "im_next").join(held, "im_range", "left")
+    rows = rows.withColumns({"im_own": fingerprint(F.col(text), F.col("im_lex")), "im_edited": F.when(F.col("im_copy") == 0, fingerprint(F.col("im_text"), F.col("im_lex")))}).drop("im_lex")
+    return rows.withColumn("im_after", F.lead("im_own").over(order(id, text))).filter("im_copy = 0").select(id, text, "im_text", "im_own", "im_edited", "im_after")
+
+
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints(table(spark, sf_dir, "documents"))
     return rows.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("im_text").cast("binary"), 256).alias("edited_sha256"),
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("im_text").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("im_own")).alias("fingerprint"), as_text(F.col("im_edited")).alias("edited_fingerprint"),
-        likeness(F.col("im_own"), F.col("im_edited")).alias("near_edited"), likeness(F.col("im_own"), F.col("im_next_own")).alias("near_next"),
+        likeness(F.col("im_own"), F.col("im_edited")).alias("near_edited"), likeness(F.col("im_own"), F.col("im_after")).alias("near_next"),
     )
 
 

@@ -3,13 +3,13 @@
 Features are shares of bytes and of byte class pairs, and figures on repetition, case and lines, of the whole text.
 A linear model minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss: positives are
 labelled 1, the unlabelled are documents taken without their labels, and the prior is estimated from the labelled
-rows. Where a minibatch's negative part falls below zero, the step goes against it instead. A Platt scale fitted on
-labelled training rows makes scores probabilities.
+rows. Where a minibatch's negative part falls below zero, the step goes against it instead. A Platt scale, fitted on
+positives left out of the risk and on labelled negatives, makes scores probabilities.
 
 Fitted on samples of at most ``POSITIVES``, ``NEGATIVES`` (for prior and scale) and ``UNLABELLED`` documents, chosen
 by a hash of their ids from rows that are not held out; every document is scored. Without labels of both kinds the
-score is the prior. Null text counts as empty and is scored like it; repeated rows are scored each; empty tables
-give empty results.
+score is the prior. Null text counts as empty and is scored like it; very long texts are scored whole; repeated rows
+are scored each, equal texts alike; empty tables give empty results. Columns but id, text and label are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .linear import Adam, platt, sigmoid
 from .scoring import first_by_hash, remainder, score
 
 POSITIVES, NEGATIVES, UNLABELLED = 3000, 1500, 6000
-THRESHOLD, MOD, HELD_OUT = 0.3, 5, 0
+THRESHOLD, MOD, HELD_OUT, CALIBRATE = 0.3, 5, 0, 5
 EPOCHS, BATCH, RATE, DECAY = 60, 512, 0.02, 1e-4
 
 
@@ -106,13 +106,16 @@ def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     prior = (counts.get(1, 0) + 1) / (counts.get(1, 0) + counts.get(0, 0) + 2)
     if not n1 or not n0 or not (sets == 2).any():
         return {"prior": prior}
-    mean, scale, w = fit(x[sets == 0], x[sets == 2], prior)
-    scaled = np.clip((x[sets < 2] - mean) / scale, -8, 8)
-    z = scaled @ w[:-1] + w[-1]
-    y = (sets[sets < 2] == 0).astype(float)
+    # One positive in CALIBRATE is left out of the risk; the scale is fitted on those and on the negatives, which are never in it.
+    out = np.zeros(len(x), bool)
+    out[np.flatnonzero(sets == 0)[::CALIBRATE]] = True
+    mean, scale, w = fit(x[(sets == 0) & ~out] if n1 > 1 else x[sets == 0], x[sets == 2], prior)
+    chosen = out | (sets == 1)
+    z = np.clip((x[chosen] - mean) / scale, -8, 8) @ w[:-1] + w[-1]
+    y = (sets[chosen] == 0).astype(float)
     # The samples' shares of labels are not the rows' own: the scale is fitted as sampled and moved by the odds.
     a, b = platt(z, y)
-    b += np.log(prior / (1 - prior)) - np.log(n1 / n0)
+    b += np.log(prior / (1 - prior)) - np.log(y.sum() / n0)
     return {"prior": prior, "mean": mean, "scale": scale, "w": w, "a": a, "b": b}
 
 

@@ -184,6 +184,48 @@ def test_jaccard_join(spark, sf):
     assert rows(jaccard.op6_jaccard_join(spark, sf), "doc_id", "n_shingles", "component_id") == want
 
 
+def near_copies(seed, n, groups, common=""):
+    """Groups of near copies, each with some edits, and texts that only share a passage."""
+    rng = random.Random(seed)
+    out = []
+    for g in range(groups):
+        base = h.prose(rng, rng.choice([12, 60, 150, 420]), 3000).split(" ")
+        for _ in range(n):
+            ws = list(base)
+            for _ in range(rng.randrange(0, max(2, len(ws) // 40))):
+                ws[rng.randrange(len(ws))] = f"e{rng.random():.6f}"
+            out.append(" ".join(ws))
+    out += [h.prose(rng, 70, 3000) + " " + common for _ in range(n)]
+    return [(i, t, "en", "s", len(t)) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 300])
+def test_combinations_and_blocks_equal_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    d = near_copies(3, 40, 6, h.prose(random.Random(1), 60, 3000))
+    sets = h.shingle_sets(d)
+    comp = h.components(sets)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(d, h.SCHEMA)).collect()}
+    assert got == {r[0]: comp[r[0]] for r in d}
+    assert len(set(comp.values())) < len(d) // 2
+
+
+def test_entries_of_partners_meet():
+    """Sets of Jaccard 3/4 or more share an entry, with whatever tokens taken as frequent."""
+    rng = np.random.default_rng(5)
+    late = (rng.random(1 << jaccard.BITS) < 0.5).astype(np.uint8)
+    for n in (2, 5, 20, 100, 190, 200, 250, 257, 300, 600):
+        for _ in range(20):
+            u = np.unique(rng.integers(1, 2**63, 2 * n, dtype=np.uint64))[:n]
+            drop = rng.integers(0, n - -(-75 * n // 100) + 1)
+            a, b = u, np.sort(rng.permutation(u)[: n - drop])
+            if 100 * len(b) < 75 * n:
+                continue
+            for slots in (None, late):
+                assert len(np.intersect1d(jaccard.entries(a, slots), jaccard.entries(b, slots)))
+
+
 def test_family_blocks():
     rng = np.random.default_rng(0)
     make = lambda n, keep: [np.unique(np.concatenate([rng.choice(200, keep, False), rng.integers(1000, 5000, 12)])) for _ in range(n)]
@@ -209,12 +251,29 @@ def test_debruijn(spark, sf):
     assert got == want
 
 
-def test_hot_minimizers_are_split(spark, docs, monkeypatch):
-    monkeypatch.setattr(debruijn, "HOT_LEAST", 3)
+@pytest.mark.parametrize("hot, chunk", [(1, 1 << 20), (3, 200), (16, 50)])
+def test_hot_edges_are_dealt_out(spark, docs, monkeypatch, hot, chunk):
+    monkeypatch.setattr(debruijn, "HOT", hot)
+    monkeypatch.setattr(debruijn, "CHUNK", chunk)
+    got = rows(debruijn.without_repeats(docs), "doc_id", "n_removed", "kept")
+    assert got == sorted(h.without_repeats(DOCS), key=str)
+
+
+def test_words_verify_what_hashes_propose(spark, docs, monkeypatch):
+    """With hashes of 6 bits nearly every window seems repeated; only those whose words are go."""
+    monkeypatch.setattr(debruijn, "window_hashes", lambda h, k: window_hashes(h, k) & np.uint64(63 << 50))
     got = rows(debruijn.without_repeats(docs), "doc_id", "n_removed", "kept")
     assert got == sorted(h.without_repeats(DOCS), key=str)
 
 
+def test_rows_of_one_id_and_of_none_are_rows_of_their_own(spark):
+    rng = random.Random(8)
+    a, b = h.prose(rng, 60), h.prose(rng, 20)
+    d = [(1, a), (1, b), (None, a), (None, b), (2, b + " " + a)]
+    got = rows(debruijn.without_repeats(spark.createDataFrame(d, "doc_id long, text string")), "doc_id", "n_removed", "kept")
+    assert got == sorted(h.without_repeats(d), key=str)
+
+
 def test_hash_helpers():
     t = b"one two  three\tfour one two"
     a = word_hashes(t)
@@ -279,7 +338,66 @@ def test_bad_host_rejects_its_weak_documents(spark):
 
 def test_extra_columns_may_clash(spark, docs):
     odd = docs.select("*", F.lit(1).alias("n"), F.lit(2).alias("tok"), F.lit("x").alias("spans"), F.lit(0).alias("length"))
-    assert secrets.scan(odd).count() == mixing.mix(odd).select("doc_id").distinct().count() + (odd.count() - mixing.mix(odd).select("doc_id").distinct().count())
+    assert secrets.scan(odd).count() == len(DOCS) and mixing.mix(odd).columns == odd.columns
     assert host_rules.apply_rules(odd).count() == len(DOCS)
     assert jaccard.near_duplicates(odd).count() == debruijn.without_repeats(odd).count() == len(DOCS)
     assert packing.pack(odd).count() >= len(DOCS)
+
+
+def test_a_host_of_a_tenth_of_failures_is_not_trusted(spark, sf):
+    """The verdict acts: a document that fails a softer rule goes with its host, one that fails none stays."""
+    rng = random.Random(4)
+    good = [(i, h.prose(rng, 60), "fine") for i in range(200)]
+    mixed = [(300 + i, h.prose(rng, 60), "mixed") for i in range(80)] + [(400 + i, h.prose(rng, 60) + " #" * 12, "mixed") for i in range(20)]
+    lone = [(500, h.prose(rng, 60) + " #" * 12, "fine")]
+    kept = {r["doc_id"] for r in host_rules.apply_rules(spark.createDataFrame(good + mixed + lone, "doc_id long, text string, source string")).filter("hr_kept").collect()}
+    assert kept == {r[0] for r in good} | {300 + i for i in range(80)} | {500}
+
+
+def test_own_names_are_refused(spark, docs):
+    with pytest.raises(ValueError):
+        host_rules.apply_rules(docs.withColumn("hr_words", F.lit(1)))
+
+
+def test_quality_scores_held_out_rows(spark):
+    rng = random.Random(6)
+    good = [(i, h.prose(rng, 80), 1) for i in range(300)]
+    bad = [(300 + i, " ".join(f"{w}!!" for w in h.prose(rng, 60).upper().split()), 0) for i in range(120)]
+    d = spark.createDataFrame([r[:2] for r in good + bad], "doc_id long, text string")
+    f = pu_quality.scorer(pu_quality.train(d, spark.createDataFrame([(r[0], r[2]) for r in good + bad], "doc_id long, quality int")))
+    held = [r for r in good + bad if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert len(held) > 50 and np.mean([(f(r[1]) >= 0.3) == r[2] for r in held]) > 0.95
+
+
+def test_risk_is_not_negative():
+    """Where positives are as good as all of the unlabelled, the plain risk falls below zero; the fit must not follow it."""
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(1, 1, (400, 5)), np.concatenate([rng.normal(1, 1, (900, 5)), rng.normal(-1, 1, (100, 5))])
+    mean, scale, w = pu_quality.fit(p.astype(np.float32), u.astype(np.float32), 0.9)
+    z = np.clip((u - mean) / scale, -8, 8) @ w[:-1] + w[-1]
+    negative = np.logaddexp(0, z).mean() - 0.9 * np.logaddexp(0, np.clip((p - mean) / scale, -8, 8) @ w[:-1] + w[-1]).mean()
+    assert negative > -0.05 and z[:900].mean() > z[900:].mean() + 1
+
+
+def test_ties_and_repeats_are_settled_alike(spark):
+    """Equal sizes, equal fits and equal scores: reruns on rows in another order agree."""
+    d = spark.createDataFrame([(i, "same words here " * 10, "en", f"s{i % 3}", 1) for i in range(60)], h.SCHEMA)
+    for f in (lambda x: mixing.copies(mixing.sizes_of(x, "doc_id", "source", "text")).select("mx_id", "mx_copies"), lambda x: packing.pack(x.coalesce(1)).select("length", "offset"), lambda x: jaccard.near_duplicates(x)):
+        assert rows(f(d), *f(d).columns) == rows(f(d.orderBy(F.desc("doc_id"))), *f(d).columns)
+
+
+def test_shared_folder_is_not_local_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    from probelake.llm import common
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())

@@ -36,3 +36,32 @@ def test_stages(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], h.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_an_id_and_repeated_rows(spark, tmp_path):
+    rng = h.random.Random(3)
+    a, b, c = (h.prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (None, c), (None, c), (None, a), (5, a + " x"), (6, "short text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], h.SCHEMA)
+    got = sorted([(r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, "").collect()], key=str)
+    assert got == sorted([(1, a), (1, b), (None, c), (6, "short text")], key=str)
+
+
+def test_a_run_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
+    d = str(tmp_path)
+    spark.createDataFrame(DOCS, h.SCHEMA).write.parquet(f"{d}/documents.parquet")
+    run_id = tmp_path.name
+    stages = corpus_pipeline.STAGES
+
+    def broken(*a):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*stages[:3], ("source_mix", broken), stages[4]])
+    try:
+        corpus_pipeline.run(spark, d, run_id)
+        raise AssertionError("it should have broken off")
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, broken) for n, _ in stages[:3]] + stages[3:])
+    got = corpus_pipeline.run(spark, d, run_id)
+    assert got.groupBy("doc_id").count().count() > 0
