@@ -9,34 +9,66 @@ ENTRY = ["cell_idx", "probe_idx", "gapfill"]
 PCR_EPS = 1e-4
 
 
-def collect_counts(molecules: DataFrame) -> DataFrame:
-    """n_umis, total_reads and the mean support of each entry (its sum over n_umis + 1e-4)."""
-    return molecules.groupBy(*ENTRY).agg(
+def collect_counts(molecules: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """n_umis, total_reads and the mean support of each entry (its sum over n_umis + 1e-4); ``by``: sample columns that part entries."""
+    return molecules.groupBy(*by, *ENTRY).agg(
         F.count(F.lit(1)).alias("n_umis"), F.sum("pcr_duplicate_count").alias("total_reads"),
         (F.sum("percent_supporting") / (F.count(F.lit(1)) + F.lit(PCR_EPS))).alias("percent_supporting"),
     )
 
 
-def feature_dictionary(molecules: DataFrame) -> DataFrame:
+def of_cells(molecules: DataFrame, cells: DataFrame, plex: str = "probe_barcode") -> DataFrame:
+    """Molecules of the cells that their own sample lists: a cell of another sample is another cell, whatever its number."""
+    return molecules.join(cells.select(plex, "cell_idx").distinct(), [plex, "cell_idx"], "left_semi")
+
+
+def feature_dictionary(molecules: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(probe_idx, gapfill, feature_idx) in lexicographic order; features are a dimension, small beside the reads."""
-    features = molecules.select("probe_idx", "gapfill").distinct()
-    return features.withColumn("feature_idx", (F.row_number().over(Window.orderBy("probe_idx", "gapfill")) - 1).cast("long"))
+    features = molecules.select(*by, "probe_idx", "gapfill").distinct()
+    w = Window.partitionBy(*by).orderBy("probe_idx", "gapfill")
+    return features.withColumn("feature_idx", (F.row_number().over(w) - 1).cast("long"))
 
 
-def cell_index(reads: DataFrame, key: str = "barcode", order: str = "read_id") -> DataFrame:
-    """(key, first_read, cell_idx) numbered by first appearance."""
-    cells = reads.groupBy(key).agg(F.min(order).alias("first_read"))
-    return cells.withColumn("cell_idx", (F.row_number().over(Window.orderBy("first_read", key)) - 1).cast("long"))
+def numbered(df: DataFrame, name: str, by: str, *rest: str) -> DataFrame:
+    """``df`` with ``name``, 0 upwards by the numeric column ``by``, then ``rest``, without one task that sees all rows.
 
+    Rows go to ranges between quantiles of ``by`` and are numbered in each, after what earlier ranges count. ``df`` is
+    read three times, so it should be a written table.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = df.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
+    bounds = F.array(*[F.lit(x) for x in sorted(set(found or []))]).cast("array<bigint>")
+    ranged = df.withColumn("nb_range", F.coalesce(F.size(F.filter(bounds, lambda x: x < F.col(by))), F.lit(0)))
+    before, pairs = 0, []
+    for r in sorted(ranged.groupBy("nb_range").count().collect()):  # a row for each range
+        pairs += [F.lit(r["nb_range"]), F.lit(before)]
+        before += r["count"]
+    start = F.create_map(*pairs)[F.col("nb_range")] if pairs else F.lit(0)
+    at = F.row_number().over(Window.partitionBy("nb_range").orderBy(by, *rest)) - 1
+    return ranged.withColumn(name, (start + at).cast("long")).drop("nb_range")
+
+
+def cell_index(reads: DataFrame, key: str | list[str] = "barcode", order: str = "read_id", written: str | None = None) -> DataFrame:
+    """(key, first_read, cell_idx) numbered by first appearance. In multiplexed runs the key holds the sample as well.
+
+    ``written``: a folder for the unnumbered cells, which are then numbered by ranges instead of in one window.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    cells = reads.groupBy(*keys).agg(F.min(order).alias("first_read"))
+    if written:
+        cells.write.mode("overwrite").parquet(written)
+        return numbered(reads.sparkSession.read.parquet(written), "cell_idx", "first_read", *keys)
+    return cells.withColumn("cell_idx", (F.row_number().over(Window.orderBy("first_read", *keys)) - 1).cast("long"))
 
-def pcr_layers(molecules: DataFrame, most: int = 10) -> DataFrame:
+
+def pcr_layers(molecules: DataFrame, most: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """(entry, threshold, n_umis): molecules with at least ``threshold`` reads, for 1 to the most reads of any entry, ``most`` at most.
 
     Counts by entry and number of reads come first, so the expansion by threshold is over entries, not molecules.
     """
-    by_reads = molecules.groupBy(*ENTRY, F.least("pcr_duplicate_count", F.lit(most)).cast("int").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    by_reads = molecules.groupBy(*by, *ENTRY, F.least("pcr_duplicate_count", F.lit(most)).cast("int").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     layers = by_reads.withColumn("threshold", F.explode(F.sequence(F.lit(1), F.col("d"))))
-    return layers.groupBy(*ENTRY, "threshold").agg(F.sum("n").alias("n_umis"))
+    return layers.groupBy(*by, *ENTRY, "threshold").agg(F.sum("n").alias("n_umis"))
 
 
 def with_min_duplicates(molecules: DataFrame, threshold: int) -> DataFrame:
@@ -110,6 +142,26 @@ def summarize(entries: DataFrame, cells: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+def summarize_by(entries: DataFrame, cells: DataFrame, plex: str = "probe_barcode") -> DataFrame:
+    """(plex, statistic, value): ``summarize`` of every sample in one pass; both tables have the sample's column."""
+    u = cells.select(plex, "cell_idx").join(entries.groupBy(plex, "cell_idx").agg(F.sum("n_umis").alias("u")), [plex, "cell_idx"], "left").select(plex, F.coalesce("u", F.lit(0)).alias("u"))
+    c = entries.filter("n_umis > 0").groupBy(plex, "probe_idx", "gapfill").agg(F.countDistinct("cell_idx").alias("c"))
+    pairs = entries.groupBy(plex, "cell_idx", "probe_idx").agg(F.sum("total_reads").alias("r")).filter("r > 0")
+    a = u.groupBy(plex).agg(
+        F.count(F.lit(1)).alias("TOTAL_CELLS"), F.sum("u").alias("TOTAL_UMIS"), F.count_if(F.col("u") > 0).alias("GAPFILL_CONTAINING_CELLS"),
+        F.avg("u").alias("UMIS_PER_CELL_MEAN"), F.median("u").alias("UMIS_PER_CELL_MEDIAN"), F.stddev_pop("u").alias("UMIS_PER_CELL_STD"),
+        F.min("u").alias("UMIS_PER_CELL_MIN"), F.min(F.when(F.col("u") > 0, F.col("u"))).alias("UMIS_PER_CELL_MIN_EXCLUDING_ZERO"), F.max("u").alias("UMIS_PER_CELL_MAX"),
+    )
+    b = c.groupBy(plex).agg(
+        F.avg("c").alias("CELLS_PER_GAPFILL_MEAN"), F.median("c").alias("CELLS_PER_GAPFILL_MEDIAN"), F.stddev_pop("c").alias("CELLS_PER_GAPFILL_STD"),
+        F.min("c").alias("CELLS_PER_GAPFILL_MIN"), F.max("c").alias("CELLS_PER_GAPFILL_MAX"),
+    )
+    s = pairs.groupBy(plex).agg((1 - F.count(F.lit(1)) / F.sum("r")).alias("SEQUENCING_SATURATION"))
+    parts = [x.select(plex, *[F.col(n).cast("double") for n in x.columns if n != plex]) for x in (a, b, s)]
+    longs = [x.unpivot([plex], [n for n in x.columns if n != plex], "statistic", "value") for x in parts]
+    return longs[0].union(longs[1]).union(longs[2])
+
+
 def barcode_ranks(entries: DataFrame) -> DataFrame:
     """(rank, n_umis, n_cells): the knee curve, one row a distinct total; ``rank`` is the last cell's with that total.
 

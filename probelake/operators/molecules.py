@@ -6,51 +6,76 @@ seen and the last tie-break everywhere, so results don't depend on the order of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import max_distance
+from .fuzzy import coded, coded_hamming, pair_keys
 
+PAD = "~"
 
-def _hamming(a: Column, b: Column) -> Column:
-    """Differing positions; sequences of unequal length also differ where one has ended."""
-    n = F.least(F.length(a), F.length(b))
-    differ = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda s, i: s + F.when(a.substr(i, F.lit(1)) != b.substr(i, F.lit(1)), 1).otherwise(0)
-    )
-    return F.when(n == 0, 0).otherwise(differ) + F.abs(F.length(a) - F.length(b))
+
+def near_identifiers(nodes: DataFrame) -> DataFrame:
+    """(group, rank, earlier): which identifiers of a group are within its distance of ones visited before.
+
+    ``nodes`` is (group, rank, padded, d). Candidates share segments: pairs of them for the usual distances of 1 and 2,
+    single ones beyond. No (cell, sample) meets in one row or task.
+    """
+    d, n = F.col("d"), F.length("padded")
+    single = F.transform(F.sequence(F.lit(0), d.cast("int")), lambda i: F.struct(i.alias("i"), n.alias("n"), F.col("padded").substr(F.floor(n * i / (d + 1)).cast("int") + 1, (F.floor(n * (i + 1) / (d + 1)) - F.floor(n * i / (d + 1))).cast("int")).alias("s")))
+    keys = F.when(d == 1, pair_keys(F.col("padded"), n, 1)).when(d == 2, pair_keys(F.col("padded"), n, 2)).otherwise(single)
+    keyed = nodes.select("group", "rank", "padded", "d", coded(F.col("padded")).alias("code"), F.explode(keys).alias("k"))
+    a, b = keyed.select("group", "k", *[F.col(c).alias(f"{c}_a") for c in ("rank", "padded", "code")]), keyed
+    both = a.join(b, ["group", "k"]).filter((F.col("rank_a") < F.col("rank")) & (coded_hamming(F.col("padded_a"), F.col("code_a"), F.col("padded"), F.col("code")) <= F.col("d")))
+    return both.groupBy("group", "rank").agg(F.array_sort(F.collect_set("rank_a")).alias("earlier"))
+
+
+def _visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, rank, earlier) in order: each with the first earlier one that was accepted, or itself."""
+    group, accepted = None, set()
+    for batch in batches:
+        ids, ranks, taken = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+        for g, rank, earlier in zip(ids, ranks, batch.column(2).to_pylist()):
+            if g != group:
+                group, accepted, seen = g, set(), set()
+            to = rank
+            for x in earlier or ():
+                # One that has no earlier neighbour itself isn't among the rows and stands.
+                if x in accepted or x not in seen:
+                    to = x
+                    break
+            seen.add(rank)
+            if to == rank:
+                accepted.add(rank)
+            taken.append(to)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(taken, pa.int64())], names=["group", "rank", "to"])
 
 
 def correct_umis(reads: DataFrame, per10: float = 1) -> DataFrame:
     """``reads`` with ``corrected_umi``.
 
     In each cell and sample, (probe, identifier) pairs are visited by probe (descending), reads (descending) and first
-    read; an identifier within the distance of an accepted one takes the first such, else is accepted. Pairs are
-    counted before they are gathered, so a cell's task holds its distinct identifiers only. The visit is an ordered
-    fold, which is why pairs of a (cell, sample) meet in one array.
+    read; an identifier within the distance of an accepted one takes the first such, else is accepted. What an
+    identifier is taken for is settled at its first visit, so the visit is over a sample's distinct identifiers, and it
+    depends on earlier neighbours only: these are found by a join on segments, and the ordered pass is over identifiers
+    that have any, streamed in visiting order; the others stand as they are.
     """
     pairs = reads.groupBy("cell_idx", "probe_barcode", "probe_idx", "umi").agg(F.count(F.lit(1)).alias("n"), F.min("read_id").alias("first_read"))
-    longest = Window.partitionBy("cell_idx")
-    pairs = pairs.withColumn("max_length", F.max(F.length("umi")).over(longest))
-    gathered = pairs.groupBy("cell_idx", "probe_barcode").agg(
-        F.max("max_length").alias("max_length"),
-        F.sort_array(F.collect_list(F.struct((-F.col("probe_idx")).alias("p"), (-F.col("n")).alias("n"), "first_read", "umi"))).alias("visits"),
-    )
-    budget = max_distance(F.col("max_length"), per10)
-    state = "struct<accepted:array<string>,out:array<struct<probe_idx:bigint,umi:string,corrected_umi:string>>>"
-
-    def visit(s: Column, v: Column) -> Column:
-        near = F.filter(s["accepted"], lambda a: (a == v["umi"]) | (_hamming(a, v["umi"]) <= budget))
-        taken = F.coalesce(F.get(near, 0), v["umi"])
-        row = F.struct((-v["p"]).cast("bigint").alias("probe_idx"), v["umi"].alias("umi"), taken.alias("corrected_umi"))
-        accepted = F.when(F.size(near) == 0, F.concat(s["accepted"], F.array(v["umi"]))).otherwise(s["accepted"])
-        return F.struct(accepted.alias("accepted"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    start = F.struct(F.array().cast("array<string>").alias("accepted"), F.array().cast("array<struct<probe_idx:bigint,umi:string,corrected_umi:string>>").alias("out")).cast(state)
-    folded = gathered.select("cell_idx", "probe_barcode", F.explode(F.aggregate("visits", start, visit, lambda s: s["out"])).alias("r"))
-    fixed = folded.select("cell_idx", "probe_barcode", F.col("r.probe_idx").alias("fix_probe"), F.col("r.umi").alias("fix_umi"), "r.corrected_umi")
-    joined = reads.join(fixed.withColumnsRenamed({"fix_probe": "probe_idx", "fix_umi": "umi"}), ["cell_idx", "probe_barcode", "probe_idx", "umi"])
-    return joined.select(*reads.columns, "corrected_umi")
+    visit = F.struct((-F.col("probe_idx")).alias("p"), (-F.col("n")).alias("n"), "first_read")
+    first = pairs.groupBy("cell_idx", "probe_barcode", "umi").agg(F.min(visit).alias("visit"))
+    longest = F.max(F.length("umi")).over(Window.partitionBy("cell_idx"))
+    rank = F.row_number().over(Window.partitionBy("cell_idx", "probe_barcode").orderBy("visit", "umi")).cast("long")
+    nodes = first.select(F.struct("cell_idx", "probe_barcode").alias("key"), "umi", longest.alias("longest"), rank.alias("rank"))
+    nodes = nodes.select(F.to_json("key", {"ignoreNullFields": "false"}).alias("group"), "key", "umi", "rank", F.rpad("umi", F.col("longest"), PAD).alias("padded"), max_distance(F.col("longest"), per10).alias("d"))
+    visited = near_identifiers(nodes.select("group", "rank", "padded", "d")).repartition("group").sortWithinPartitions("group", "rank").mapInArrow(_visit, "group string, rank long, to long")
+    moved = visited.filter("to <> rank")
+    fixed = nodes.select("group", "rank", "key", "umi").join(moved, ["group", "rank"]).join(nodes.select("group", F.col("rank").alias("to"), F.col("umi").alias("corrected_umi")), ["group", "to"])
+    fixed = fixed.select("key.*", F.col("umi").alias("fix_umi"), "corrected_umi").withColumnsRenamed({"cell_idx": "fix_cell", "probe_barcode": "fix_sample"})
+    on = F.col("cell_idx").eqNullSafe(F.col("fix_cell")) & F.col("probe_barcode").eqNullSafe(F.col("fix_sample")) & (F.col("umi") == F.col("fix_umi"))
+    return reads.join(fixed, on, "left").select(*reads.columns, F.coalesce("corrected_umi", "umi").alias("corrected_umi"))
 
 
 def remove_chimeras(reads: DataFrame, umi: str = "corrected_umi") -> DataFrame:

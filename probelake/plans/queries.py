@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import counts, filters, fuzzy, genotypes, knn, manifest, mapping, molecules, offbyone, spatial, stats
 from . import bindings as b
+from .registry import ORACLES, QUERIES, query, r6
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(*names: str):
-    return [F.round(F.col(n), 6).alias(n) for n in names]
+__all__ = ["ORACLES", "QUERIES"]
 
 
 # Molecules and counts
@@ -131,9 +113,9 @@ def saturation_curve_expected(spark, d):
     return out.select(*r6("fraction"), F.round("mean_reads_per_cell", 4).alias("mean_reads_per_cell"), *r6("saturation"))
 
 
-@query(f"""with {b.WIDE_SQL}, u as (select s_suppkey, coalesce(sum(n_umis), 0) u from supplier left join (select * from entries where probe_idx < 4) e on cell_idx = s_suppkey group by 1),
-c as (select count(distinct cell_idx) c from entries where probe_idx < 4 group by probe_idx, gapfill),
-s as (select 1 - count(*) / sum(r) v from (select sum(total_reads) r from entries where probe_idx < 4 group by cell_idx, probe_idx)),
+@query(f"""with {b.WIDE_SQL}, u as (select s_suppkey, coalesce(sum(n_umis), 0) u from supplier left join entries e on cell_idx = s_suppkey group by 1),
+c as (select count(distinct cell_idx) c from entries group by probe_idx, gapfill),
+s as (select 1 - count(*) / sum(r) v from (select sum(total_reads) r from entries group by cell_idx, probe_idx)),
 t as (select 'TOTAL_CELLS' statistic, cast(count(*) as double) "value" from u union all select 'TOTAL_UMIS', sum(u) from u union all select 'GAPFILL_CONTAINING_CELLS', count(*) filter (u > 0) from u
 union all select 'UMIS_PER_CELL_MEAN', avg(u) from u union all select 'UMIS_PER_CELL_MEDIAN', median(u) from u union all select 'UMIS_PER_CELL_STD', stddev_pop(u) from u union all select 'UMIS_PER_CELL_MIN', min(u) from u
 union all select 'UMIS_PER_CELL_MIN_EXCLUDING_ZERO', min(u) filter (u > 0) from u union all select 'UMIS_PER_CELL_MAX', max(u) from u union all select 'CELLS_PER_GAPFILL_MEAN', avg(c) from c union all select 'CELLS_PER_GAPFILL_MEDIAN', median(c) from c
@@ -277,13 +259,14 @@ def relative_efficiency(spark, d):
     return genotypes.relative_efficiency(b.wide_entries(spark, d), controls).withColumn("median_ratio", F.round("median_ratio", 6))
 
 
-TRUTH_SQL = "truth as (select distinct s_nationkey grp, cast(l_linenumber as bigint) probe_idx, l_returnflag || l_linestatus genotype from lineitem join supplier on l_suppkey = s_suppkey where l_orderkey % 97 = 0)"
+TRUTH_SQL = "truth as (select distinct c_nationkey grp, cast(c_custkey // 7 as bigint) probe_idx, c_mktsegment genotype from customer)"
 
 
 @query(f"with {TRUTH_SQL} select probe_idx, min(grp) grp, genotype from truth group by probe_idx, genotype having count(*) = 1")
 def specific_probes(spark, d):
-    t = b.table(spark, d, "lineitem").join(b.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return genotypes.specific_probes(t.select(F.col("s_nationkey").alias("grp"), F.col("l_linenumber").cast("long").alias("probe_idx"), F.concat("l_returnflag", "l_linestatus").alias("genotype")))
+    """Seven customers a probe, their nations as groups: some segments belong to one nation alone, at any scale."""
+    c = b.table(spark, d, "customer")
+    return genotypes.specific_probes(c.select(F.col("c_nationkey").alias("grp"), F.floor(F.col("c_custkey") / 7).alias("probe_idx"), F.col("c_mktsegment").alias("genotype")).distinct())
 
 
 @query(f"{WIDE_CALLS} select probe_idx, string_agg(distinct genotype, '|' order by genotype) genotypes, count(*) n from calls group by 1 having count(distinct genotype) >= 2 order by n desc, probe_idx limit 5")
@@ -410,14 +393,19 @@ def whitelist_pigeonhole(spark, d):
     return asked.join(found, "seq", "left").select("k", "seq", "entry", "edits")
 
 
-@query(f"""with {WHITE_SQL}, q as (select distinct substr(seq, 1, 12) seq from asked where k % 20 = 1), w as (select distinct substr(entry, 1, 12) entry from white), near as (select seq, entry, levenshtein(seq, entry) edits from q join w on levenshtein(seq, entry) <= 1)
+@query(f"""with {WHITE_SQL}, q as (select distinct seq from asked), w as (select distinct entry from white), near as (select seq, entry, levenshtein(seq, entry) edits from q join w on levenshtein(seq, entry) <= 1)
 select seq, entry, cast(edits as int) edits from q left join (select * from (select *, row_number() over (partition by seq order by edits, entry) r from near) where r = 1) using (seq)""")
 def whitelist_indels(spark, d):
     white, asked = _whitelist(spark, d)
     return fuzzy.match_whitelist(asked, white, 1, indels=True)
 
 
-@query(None)
+@query(f"""with {WHITE_SQL}, q as (select distinct seq from asked), r(a, m, z) as (values (0, 12, 24), (0, 11, 23), (1, 12, 24)),
+one as (select distinct substr(entry, 1, 12) f from white), two as (select distinct substr(entry, 13, 12) s from white),
+c as (select seq, z - a span, substr(seq, a + 1, m - a) x, substr(seq, m + 1, z - m) y from q, r where length(seq) >= z),
+fx as (select * from (select x, f, hamming(x, f) ex, row_number() over (partition by x order by hamming(x, f), f) k from (select distinct x from c) join one on length(x) = length(f) and hamming(case when length(x) = length(f) then x else f end, f) <= 1) where k = 1),
+fy as (select * from (select y, s, hamming(y, s) ey, row_number() over (partition by y order by hamming(y, s), s) k from (select distinct y from c) join two on length(y) = length(s) and hamming(case when length(y) = length(s) then y else s end, s) <= 1) where k = 1)
+select seq, f as "first", s as "second", cast(ex + ey as int) edits from (select seq, f, s, ex, ey, row_number() over (partition by seq order by ex + ey, span desc, f, s) n from c join fx using (x) join fy using (y)) where n = 1""")
 def two_part_barcodes(spark, d):
     white, asked = _whitelist(spark, d)
     return fuzzy.two_part(asked, white.select(F.col("entry").substr(1, 12).alias("entry")), white.select(F.col("entry").substr(13, 12).alias("entry")), "seq", [(0, 12, 24), (0, 11, 23), (1, 12, 24)], 1)
@@ -473,7 +461,7 @@ def max_distance(spark, d):
     return b.table(spark, d, "part").select("p_partkey", fn.max_distance(F.col("p_size")).alias("by_ceiling"), fn.max_distance_floor(F.col("p_size")).alias("by_floor"))
 
 
-@query(None)
+@query("select c_custkey, substr(sha1(from_hex(case when length(hex(c_custkey)) % 2 = 1 then '0' || hex(c_custkey) else hex(c_custkey) end)), 1, 7) hash from customer")
 def id_hash(spark, d):
     return b.table(spark, d, "customer").select("c_custkey", fn.int_to_hash(F.col("c_custkey")).alias("hash"))
 
@@ -489,18 +477,31 @@ def bin_coordinates(spark, d):
 # Mapping
 
 
-@query(None)
+ARMS = [("ACGTACGTAC", "TTGGCCAATT"), ("CCCCAAAATT", "GATTACAGAT"), ("GTGTGTCACA", "CAGTCAGTCA"), ("TTTTGGGGCC", "AACCGGTTAA"), ("AGAGAGTCTC", "CTCTAGGATC")]
+
+
+@query(f"""with {b.READS_SQL}, c as (select *, rpad({" || ".join(f"substr('ACGT', cast((cell_idx // {4**i}) % 4 + 1 as int), 1)" for i in range(7, -1, -1))}, 16, 'CACACACA') cell from reads),
+s as (select *, k % 17 = 0 no_left, k % 13 = 0 no_cell, k % 17 <> 0 and k % 9 = 0 and probe_idx <> 2 fixed_left, k % 7 in (1, 2) fixed_right, k % 5 in (1, 2) fixed_cell, k % 8 = 0 fixed_sample, k % 8 = 1 no_sample from c)
+select read_id, case when not no_left and not no_cell and not no_sample then probe_idx end probe_idx, case when not no_left and not no_cell and not no_sample then gapfill end gapfill,
+ case when not no_cell then cell end cell_barcode, case when not no_left and not no_sample then 'ACTTTAGG' end probe_barcode, umi,
+ coalesce(nullif(concat_ws(',', case when no_left then 'FILTERED_NO_LHS' when fixed_left then 'CORRECTED_LHS' end, case when not no_left and fixed_right then 'CORRECTED_RHS' end,
+  case when no_cell then 'FILTERED_NO_CELL_BARCODE' when fixed_cell then 'CORRECTED_BARCODE' end,
+  case when not no_left and no_sample then 'FILTERED_NO_PROBE_BARCODE' when not no_left and fixed_sample then 'CORRECTED_PROBE_BARCODE' end), ''), 'EXACT') states from s""")
 def map_reads(spark, d):
-    """events as read pairs built from a panel of five probes, then mapped back."""
-    arms = [("ACGTACGTAC", "TTGGCCAATT"), ("CCCCAAAATT", "GATTACAGAT"), ("GTGTGTCACA", "CAGTCAGTCA"), ("TTTTGGGGCC", "AACCGGTTAA"), ("AGAGAGTCTC", "CTCTAGGATC")]
-    panel = spark.createDataFrame([(i, f"p{i}", x, y) for i, (x, y) in enumerate(arms)], "index long, name string, lhs_probe string, rhs_probe string")
-    left, right = (F.array(*[F.lit(x[i]) for x in arms]) for i in (0, 1))
+    """events as read pairs built from a panel of five probes, then mapped back: arms, cells and samples with 0 to 3 edits."""
+    panel = spark.createDataFrame([(i, f"p{i}", x, y) for i, (x, y) in enumerate(ARMS)], "index long, name string, lhs_probe string, rhs_probe string")
+    left, right = (F.array(*[F.lit(x[i]) for x in ARMS]) for i in (0, 1))
     r = b.reads(spark, d)
-    cell = F.rpad(F.translate(F.lpad(F.conv(F.col("cell_idx").cast("string"), 10, 4), 8, "0"), "0123", "ACGT"), 16, "CA")
-    at = (F.col("probe_idx") + 1).cast("int")
-    arm = F.when(F.col("k") % 9 == 0, F.concat(F.lit("G"), F.element_at(left, at).substr(2, 9))).otherwise(F.element_at(left, at))
-    r2 = F.concat(F.when(F.col("k") % 17 == 0, F.lit("NNNNNNNNNN")).otherwise(arm), "gapfill", F.element_at(right, at), F.lit("ACGCGGTTAGCACGTA"), F.lit("NN"), F.lit("ACTTTAGG"))
-    pairs = r.select("read_id", F.concat(cell, F.col("umi")).alias("r1"), r2.alias("r2")).withColumns({"q1": F.repeat(F.lit("I"), F.length("r1")), "q2": F.repeat(F.lit("I"), F.length("r2"))})
+    k, at = F.col("k"), (F.col("probe_idx") + 1).cast("int")
+    code = F.translate(F.lpad(F.conv(F.col("cell_idx").cast("string"), 10, 4), 8, "0"), "0123", "ACGT")
+    cell = F.rpad(code, 16, "CA")
+    # Edits in a part that no other entry comes near: the padding of cells, the first letters of arms, the sample's end.
+    seen = F.when(k % 13 == 0, F.repeat(F.lit("N"), F.lit(16))).when(k % 5 == 1, F.concat(code, F.lit("TACACACA"))).when(k % 5 == 2, F.concat(code, F.lit("TACACACT"))).otherwise(cell)
+    arm = F.when(k % 17 == 0, "NNNNNNNNNN").when(k % 9 == 0, F.concat(F.lit("G"), F.element_at(left, at).substr(2, 9))).otherwise(F.element_at(left, at))
+    other = F.when(k % 7 == 1, F.concat(F.element_at(right, at).substr(1, 9), F.lit("N"))).when(k % 7 == 2, F.concat(F.element_at(right, at).substr(1, 4), F.lit("N"), F.element_at(right, at).substr(6, 5))).otherwise(F.element_at(right, at))
+    sample = F.when(k % 8 == 0, "ACTTTAGC").when(k % 8 == 1, "GGTTTAGC").otherwise("ACTTTAGG")
+    r2 = F.concat(arm, "gapfill", other, F.lit("ACGCGGTTAGCACGTA"), F.lit("NN"), sample)
+    pairs = r.select("read_id", F.concat(seen, F.col("umi")).alias("r1"), r2.alias("r2")).withColumns({"q1": F.repeat(F.lit("I"), F.length("r1")), "q2": F.repeat(F.lit("I"), F.length("r2"))})
     cells = r.select(cell.alias("entry")).distinct()
     samples = spark.createDataFrame([("ACTTTAGG",)], "entry string")
     return mapping.map_reads(pairs, panel, cells, "Flex", samples).select("read_id", "probe_idx", "gapfill", "cell_barcode", "probe_barcode", "umi", F.array_join("states", ",").alias("states"))
@@ -538,7 +539,13 @@ def impute_genotypes(spark, d):
     return knn.impute_genotypes(calls, cells, k=15, hold_out=1 / 3)[0]
 
 
-@query(None)
+@query(f"""with {b.ENTRIES_SQL}, en as (select cell_idx, probe_idx, gapfill, length(gapfill) len, n_umis n from entries where n_umis > 0),
+t as (select cell_idx, probe_idx, len, count(*) k, sum(n) total from en group by all),
+u as (select l.cell_idx, l.probe_idx, l.len from t l join t s on s.cell_idx = l.cell_idx and s.probe_idx = l.probe_idx and s.len = l.len - 1 where (l.k > 1 or s.k = 1) and l.total > s.total),
+p as (select s.cell_idx, s.probe_idx, s.gapfill short, s.n, l.gapfill long, l.n m, rank() over (partition by s.cell_idx, s.probe_idx, s.gapfill order by levenshtein(s.gapfill, l.gapfill)) r from u join en s on s.cell_idx = u.cell_idx and s.probe_idx = u.probe_idx and s.len = u.len - 1 join en l on l.cell_idx = u.cell_idx and l.probe_idx = u.probe_idx and l.len = u.len),
+gain as (select cell_idx, probe_idx, long gapfill, round_even(n * m / sum(m) over (partition by cell_idx, probe_idx, short), 0) d from p where r = 1),
+every as (select cell_idx, probe_idx, gapfill, n d from en union all select cell_idx, probe_idx, gapfill, d from gain union all select distinct cell_idx, probe_idx, short, -n from p)
+select cell_idx, probe_idx, gapfill, cast(sum(d) as bigint) n_umis from every group by all having sum(d) > 0""")
 def off_by_one(spark, d):
     return offbyone.correct_off_by_one(b.entries(spark, d))
 
@@ -557,3 +564,6 @@ def variable_genes(spark, d):
     li = b.table(spark, d, "lineitem")
     n = li.groupBy(F.col("l_suppkey").alias("cell_idx"), (F.col("l_partkey") % 40).alias("gene")).agg(F.count(F.lit(1)).alias("n"))
     return knn.variable_genes(knn.log_normalized(n), li.select("l_suppkey").distinct().count(), 10).withColumn("dispersion", F.round("dispersion", 6))
+
+
+from . import report_queries  # noqa: E402, F401  (registers its queries)

@@ -20,6 +20,15 @@ BATCH = 20_000
 PER_FILE = 40  # a file's ordinals start at its number shifted by this many bits
 
 
+def pair_up(ones: list[str], twos: list[str]) -> list[tuple[str, str]]:
+    """Listed R1 and R2 files, zipped in order."""
+    if len(ones) != len(twos):
+        raise ValueError(f"{len(ones)} R1 files but {len(twos)} R2 files")
+    if lost := [f for f in (*ones, *twos) if not os.path.exists(f)]:
+        raise FileNotFoundError(f"no such files: {lost}")
+    return list(zip(ones, twos))
+
+
 def discover(pattern_or_prefix: str) -> list[tuple[str, str]]:
     """Pairs of R1 and R2 files: of a prefix, a pattern, or one R1 file; an error where a mate is missing."""
     found = [pattern_or_prefix] if os.path.isfile(pattern_or_prefix) else glob.glob(pattern_or_prefix) if any(c in pattern_or_prefix for c in "*?[") else glob.glob(f"{pattern_or_prefix}*_R1*")
@@ -40,9 +49,13 @@ def _open(path: str):
 
 
 def records(path: str):
-    """(title, sequence, quality) of each complete record."""
+    """(title, sequence, quality) of each record; one that breaks off is an error."""
     with _open(path) as f:
-        while len(four := [x.rstrip("\r\n") for x in islice(f, 4)]) == 4:
+        while four := [x.rstrip("\r\n") for x in islice(f, 4)]:
+            if len(four) < 4:
+                if any(four):
+                    raise ValueError(f"{path}: the last record breaks off after {len(four)} lines")
+                return
             if not four[0].startswith("@"):
                 raise ValueError(f"{path}: not a FASTQ record: {four[0][:40]!r}")
             yield four[0][1:], four[1], four[3]
@@ -82,9 +95,15 @@ class FastqSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
+        if "r1" in self.options:
+            return FastqReader(pair_up(self.options["r1"].split(","), self.options["r2"].split(",")))
         return FastqReader(discover(self.options["path"]))
 
 
-def read_fastqs(spark: SparkSession, path: str) -> DataFrame:
+def read_fastqs(spark: SparkSession, path: str | None = None, r1: list[str] | None = None, r2: list[str] | None = None) -> DataFrame:
+    """Read pairs of a prefix or pattern, or of listed files."""
     spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq_pairs").load(path)
+    reader = spark.read.format("fastq_pairs")
+    if r1 or r2:
+        return reader.option("r1", ",".join(r1 or [])).option("r2", ",".join(r2 or [])).load()
+    return reader.load(path)

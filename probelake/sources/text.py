@@ -44,6 +44,7 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_unmapped(mapped: DataFrame, reads: DataFrame, path: str) -> None:
-    """Reads without a probe as FASTQ records of R2, titled with the states that explain them."""
+    """Both mates of reads without a probe as FASTQ records, in folders R1 and R2, titled with the states that explain them."""
     lost = mapped.filter("probe_idx is null").select("read_id", F.array_join("states", ",").alias("why")).join(reads, "read_id")
-    lost.select(F.concat(F.lit("@"), "title2", F.lit(" "), "why", F.lit("\n"), "r2", F.lit("\n+\n"), "q2").alias("value")).write.mode("overwrite").text(path)
+    for k in (1, 2):
+        lost.select(F.concat(F.lit("@"), f"title{k}", F.lit(" "), "why", F.lit("\n"), f"r{k}", F.lit("\n+\n"), f"q{k}").alias("value")).write.mode("overwrite").option("compression", "gzip").text(f"{path}/R{k}")

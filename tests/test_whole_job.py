@@ -39,40 +39,11 @@ def test_indels_are_found(spark):
     assert sorted([(r["seq"], r["entry"], r["edits"]) for r in got], key=str) == sorted((nearest(s, white) for s in asked), key=str)
 
 
-def test_specific_genotypes_of_all_orders(spark, tmp_path):
-    items = [(97, 1, 1, "A", "F"), (98, 2, 1, "A", "F"), (99, 1, 2, "N", "O"), (100, 2, 3, "R", "F"), (101, 1, 3, "R", "F"), (194, 2, 4, "R", "F")]
-    spark.createDataFrame(items, "l_orderkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
-    spark.createDataFrame([(1, 7), (2, 8)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+def test_specific_genotypes_of_all_customers(spark, tmp_path):
+    rows = [(7, 1, "A"), (8, 1, "A"), (9, 2, "B"), (10, 1, "B"), (11, 3, "C"), (14, 1, "A"), (15, 2, "A")]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     got = {(r["probe_idx"], r["grp"], r["genotype"]) for r in q.specific_probes(spark, str(tmp_path)).collect()}
-    assert got == {(2, 7, "NO"), (4, 8, "RF")}
-
-
-def test_terms_of_one_document_stay_out_of_the_band(spark):
-    from pyspark.sql import functions as F
-
-    from probelake.llm import imatch
-
-    n, k = 2000, 200  # 400,000 distinct words of one document each
-    word = lambda i: F.concat(F.lit("u"), (F.col("id") * k + i).cast("string"))
-    docs = spark.range(n).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), word), F.concat(F.lit("Common"), F.col("id") % 20), F.lit("always")).alias("text"))
-    want = spark.createDataFrame([(f"common{i}",) for i in range(20)], "w string").select(F.xxhash64("w"))
-    assert {r[0] for r in imatch.lexicon(docs).collect()} == {r[0] for r in want.collect()}
-
-
-def test_each_range_has_its_terms_of_the_band(spark):
-    from pyspark.sql import functions as F
-
-    from probelake.llm import imatch
-    from tests.llm import helpers as h
-
-    docs = spark.createDataFrame(h.corpus(6), h.SCHEMA).union(spark.createDataFrame([(None, "null id of w1 w2", "en", "s", 1)], h.SCHEMA)).select("doc_id", "text")
-    rows = imatch.with_next(docs, "doc_id", "text", 5).withColumn("im_text", F.concat("text", F.lit(" "), "im_next"))
-    band = {r["term"] for r in imatch.lexicon(docs).collect()}
-    got = imatch.with_lexicon(rows, imatch.lexicon(docs), "text", "im_next").select("im_range", imatch.terms(F.col("im_text")).alias("ts"), "im_lex").collect()
-    assert len(got) == docs.count() and len({r["im_range"] for r in got}) > 1
-    for r in got:
-        assert {t for t in r["ts"] if t in r["im_lex"][t & (imatch.BUCKETS - 1)]} == band & set(r["ts"])
-    assert band and any(band & set(r["ts"]) for r in got)
+    assert got == {(1, 1, "A"), (1, 3, "C")}
 
 
 def test_summary_of_all_probes(spark, tmp_path):
