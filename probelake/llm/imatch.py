@@ -53,15 +53,21 @@ def bucket(term: Column) -> Column:
 
 
 def held_terms(rows: DataFrame, lex: DataFrame, *texts: str) -> DataFrame:
-    """(im_range, im_lex) for rows that lie by im_range: the lexicon's terms that a range's texts have, an array of ``BUCKETS`` arrays."""
-    used = rows.select("im_range", F.explode(F.array_distinct(F.flatten(F.array(*[terms(F.col(t)) for t in texts])))).alias("term")).distinct()
-    used = used.join(maybe_broadcast(lex), "term", "left_semi").select("im_range", bucket(F.col("term")).alias("b"), "term")
-    held = used.groupBy("im_range", "b").agg(F.collect_list("term").alias("ts")).groupBy("im_range").agg(F.map_from_entries(F.collect_list(F.struct("b", "ts"))).alias("m"))
-    return held.select("im_range", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.array().cast("array<bigint>"))).alias("im_lex"))
+    """(im_range, im_lex): the lexicon's terms that a range's texts have, an array of ``BUCKETS`` arrays.
+
+    ``rows`` lie by im_range and hold the ranges' copied rows, one a range, which also stand for buckets without terms.
+    """
+    own = F.transform(F.array_distinct(F.flatten(F.array(*[terms(F.col(t)) for t in texts]))), lambda t: F.struct(bucket(t).alias("b"), t.alias("term")))
+    none = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.struct(i.alias("b"), F.lit(None).cast("long").alias("term")))
+    used = rows.select("im_range", F.explode(F.when(F.col("im_copy") == 1, F.concat(own, none)).otherwise(own)).alias("u")).select("im_range", "u.b", "u.term").distinct()
+    known = maybe_broadcast(lex).withColumn("im_known", F.lit(True))
+    used = used.join(known, "term", "left").filter("im_known or term is null")
+    held = used.groupBy("im_range", "b").agg(F.collect_list("term").alias("ts")).groupBy("im_range").agg(F.sort_array(F.collect_list(F.struct("b", "ts"))).alias("held"))
+    return held.select("im_range", F.col("held.ts").alias("im_lex"))
 
 
 def with_lexicon(rows: DataFrame, lex: DataFrame, *texts: str) -> DataFrame:
-    """``rows`` with im_lex of their range, null where none of its texts has a term of the lexicon."""
+    """``rows`` with im_lex of their range."""
     return rows.join(cut(held_terms(rows, lex, *texts)), "im_range", "left")
 
 

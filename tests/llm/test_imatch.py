@@ -22,9 +22,9 @@ def test_terms_of_one_document_stay_out_of_the_band(spark):
 
 def test_each_range_has_its_terms_of_the_band(spark):
     docs = spark.createDataFrame(h.corpus(6), h.SCHEMA).union(spark.createDataFrame([(None, "null id of w1 w2", "en", "s", 1)], h.SCHEMA)).select("doc_id", "text")
-    rows = imatch.with_next(docs, "doc_id", "text", 5).withColumn("im_text", F.concat("text", F.lit(" "), "im_next"))
+    rows = imatch.with_next(docs, "doc_id", "text", 5, copies=True).withColumn("im_text", F.concat("text", F.lit(" "), "im_next"))
     band = {r["term"] for r in imatch.lexicon(docs).collect()}
-    got = imatch.with_lexicon(rows, imatch.lexicon(docs), "text", "im_next").select("im_range", imatch.terms(F.col("im_text")).alias("ts"), "im_lex").collect()
+    got = imatch.with_lexicon(rows, imatch.lexicon(docs), "text").filter("im_copy = 0").select("im_range", imatch.terms(F.col("im_text")).alias("ts"), "im_lex").collect()
     assert len(got) == docs.count() and len({r["im_range"] for r in got}) > 1
     for r in got:
         assert {t for t in r["ts"] if t in r["im_lex"][t & (imatch.BUCKETS - 1)]} == band & set(r["ts"])
