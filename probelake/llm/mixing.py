@@ -8,7 +8,10 @@ until one is left a source. That one is rounded, and smaller documents of the la
 as far as they can; a source's words differ from its target by less than one document at most. Draws depend on seed, source and group only, so reruns agree.
 
 Null text has size 0, a null source is a source of its own (last in order). Documents of size 0 get no copies. Rows
-that agree in id, source and size are settled as one and get the same number of copies. Empty tables give none.
+that agree in id, source and size are settled as one and get the same number of copies; documents of equal size are
+taken in order of id. A very long text is one document: what rounding is off by can be as large as it. The last group's
+make-up step is no pivotal step: documents that it moves keep their expectation only up to one document a source. Empty
+tables give none. Other columns pass through ``mix``; names that start with ``mx_`` are its own.
 """
 
 from __future__ import annotations

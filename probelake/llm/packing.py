@@ -6,7 +6,9 @@ the fullest, which goes out, and its remainder is placed again. At its end a par
 the same rule into full ones and one that is part full; those meet by groups of partitions in a second step. So
 only one sequence of each such group is padded.
 
-Null text counts as empty: one piece, the end id alone. Repeated rows are packed each. Empty tables give none.
+Null text counts as empty: one piece, the end id alone. Repeated rows are packed each. A very long text gives many whole
+sequences. Of windows that fit equally well the one opened first is taken. Empty tables give none. Only the id and the
+text are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations

@@ -12,8 +12,10 @@ Over all strings of an encoding and length band, a Benjamini-Hochberg step on a
 band's threshold (false-discovery rate ``FDR``), so only a bounded table of counts reaches the driver. What passes is
 reported as kind ``random``.
 
-Null text counts as empty; it and clean texts have no spans. Repeated rows are scanned each. Empty tables give empty
-results. Positions are code points from 0, ends exclusive. Columns of its own start with ``sc_``.
+Null text counts as empty; it and clean texts have no spans. Repeated rows are scanned each; very long texts are scanned
+whole. Spans that start together are ordered by kind; a p-value that equals a threshold passes. Empty tables give
+empty results. Positions are code points from 0, ends exclusive. Other columns pass through; names that start with
+``sc_`` are its own.
 """
 
 from __future__ import annotations
@@ -38,9 +40,11 @@ ENCODINGS = ("hex", "base32", "base36", "base64")
 ALPHABET = {"hex": DIGITS + "abcdef", "base32": UP + "234567", "base36": DIGITS + LOW, "base64": UP + LOW + DIGITS + "+/_-"}
 TEXT_RATE = {"hex": 0.13, "base32": 0.07, "base36": 0.065, "base64": 0.05}
 BANDS = (28, 40, 64)
-FDR, ACCEPT, GRID, DEEPEST = 0.05, 0.005, 10, 60
+FDR, ACCEPT, GRID, DEEPEST = 0.05, 0.005, 10, 110  # the grid ends beyond the least p-value that _phi gives
+FOLD = 256
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+CUTS = "array<struct<start:int,kind:int,before:int,until:int>>"
 
 
 def _located(text: Column, pattern: str, kind: int, passes=None, group2: bool = False) -> Column:
@@ -57,7 +61,16 @@ def _located(text: Column, pattern: str, kind: int, passes=None, group2: bool =
         span = F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end"))).cast(SPAN)
         return F.struct(b.alias("at"), F.when(keep, F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda s: s["out"])
+    def shifted(s: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda x: F.struct((x["start"] + s["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + s["at"]).alias("end"))).cast(SPAN)
+        return F.struct((s["at"] + part["at"]).alias("at"), F.concat(s["out"], moved).alias("out"))
+
+    return F.aggregate(_parts(rows, start, step), start, shifted, lambda s: s["out"])
+
+
+def _parts(rows: Column, start: Column, step) -> Column:
+    """Folds of each FOLD rows: arrays that grow by one are copied within a fold only, so many matches of a long text don't cost their square."""
+    return let(rows, lambda xs: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(xs) - 1), F.lit(FOLD)), lambda i: F.aggregate(F.slice(xs, i + 1, FOLD), start, step)))
 
 
 def base_spans(text: Column) -> Column:
@@ -175,13 +188,24 @@ def redact(scanned: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
     name = F.array(*[F.lit(f"[{k}]") for k in KINDS])
 
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(CUTS).alias("out"))
+
     def step(s: Column, x: Column) -> Column:
-        between = F.when(x["start"] > s["at"], t.substr(s["at"] + 1, x["start"] - s["at"])).otherwise(F.lit(""))
-        fresh = x["start"] >= s["at"]
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], between, F.when(fresh, F.element_at(name, x["kind"] + 1)).otherwise(F.lit(""))).alias("out"))
+        until = F.greatest(s["at"], x["end"])
+        cut_ = F.array(F.struct(x["start"].alias("start"), x["kind"].alias("kind"), s["at"].alias("before"), until.alias("until"))).cast(CUTS)
+        return F.struct(until.alias("at"), F.concat(s["out"], cut_).alias("out"))
+
+    def joined(s: Column, part: Column) -> Column:
+        at = s["at"]
+        moved = F.transform(part["out"], lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), F.greatest(at, x["before"]).alias("before"), F.greatest(at, x["until"]).alias("until"))).cast(CUTS)
+        return F.struct(F.greatest(at, part["at"]).alias("at"), F.concat(s["out"], moved).alias("out"))
+
+    def piece(x: Column) -> Column:
+        between = F.when(x["start"] > x["before"], t.substr(x["before"] + 1, x["start"] - x["before"])).otherwise(F.lit(""))
+        return F.concat(between, F.when(x["start"] >= x["before"], F.element_at(name, x["kind"] + 1)).otherwise(F.lit("")))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cleaned = F.aggregate("sc_spans", start, step, lambda s: F.concat(s["out"], t.substr(s["at"] + 1, F.length(t))))
+    cuts = F.aggregate(_parts(F.col("sc_spans"), start, step), start, joined)
+    cleaned = let(cuts, lambda c: F.concat(F.array_join(F.transform(c["out"], piece), ""), t.substr(c["at"] + 1, F.length(t))))
     return scanned.withColumn(text, F.when(F.size("sc_spans") > 0, cleaned).otherwise(t)).drop("sc_base", "sc_spans")
 
 

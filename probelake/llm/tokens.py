@@ -11,7 +11,9 @@ letter or digit is a piece of its own, and Latin-1 texts are lowered first. That
 letters, drops white space and never joins letters or digits with other signs, and whose added tokens hold no white
 space and strip none; ``Encoder`` checks this from the tokenizer's own description and encodes whole texts otherwise.
 
-Null text counts as empty, with no tokens. Repeated rows count each. Empty tables give empty results.
+Null text counts as empty, with no tokens. Repeated rows count each, equal texts alike. Very long texts are counted
+whole; one without white space has no stable boundary and is encoded in one go. Empty tables give empty results. Only
+the id and the text are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations
