@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-4
+MOST_PROBES = 100_000
 
 
 def call_genotypes(entries: DataFrame, threshold: float = 0.5, cells: DataFrame | None = None) -> DataFrame:
@@ -35,8 +36,10 @@ def call_genotypes(entries: DataFrame, threshold: float = 0.5, cells: DataFrame
     )
     if cells is None:
         return calls
-    probes = entries.select("probe_idx").distinct().withColumn("one", F.lit(1))  # a panel's probes: a small dimension
-    grid = cells.select("cell_idx", F.lit(1).alias("one")).join(F.broadcast(probes), "one").drop("one")
+    probes = entries.select("probe_idx").distinct()
+    if probes.count() > MOST_PROBES:
+        raise ValueError(f"a row for each cell and probe is made for {MOST_PROBES} probes at most")
+    grid = cells.select("cell_idx").crossJoin(F.broadcast(probes))  # the result's own size
     return grid.join(calls, ["cell_idx", "probe_idx"], "left").withColumns({"n_umis": F.coalesce("n_umis", F.lit(0)), "proportion": F.coalesce("proportion", F.lit(0.0))})
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Other names under which panels give these columns.
 ALIASES = {"expected_gapfill": "gap_probe_sequence", "reference_gapfill": "original_gap_probe_sequence", "symbol": "gene", "gene_name": "gene", "gene_symbol": "gene"}
+MOST_ARMS = 50_000
 PANEL = ("name", "lhs_probe", "rhs_probe", "gap_probe_sequence", "original_gap_probe_sequence", "gene")
 
 
@@ -31,11 +32,14 @@ def normalize_panel(raw: DataFrame) -> DataFrame:
 def with_decoys(panel: DataFrame) -> DataFrame:
     """The panel, ``was_defined``, and every other pairing of its left and right arms, named ``left/right``.
 
-    A cross of a panel's two columns of arms: a dimension of a few thousand probes, asked for explicitly.
+    The result is a cross of a panel's two columns of arms, asked for explicitly; a panel of more than ``MOST_ARMS`` arms
+    is refused, as its square would not be a dimension any more.
     """
-    left = panel.groupBy("lhs_probe").agg(F.min("name").alias("left_name")).withColumn("one", F.lit(1))
-    right = panel.groupBy("rhs_probe").agg(F.min("name").alias("right_name")).withColumn("one", F.lit(1))
-    pairs = left.join(right, "one").drop("one").join(panel, ["lhs_probe", "rhs_probe"], "left_anti")
+    left = panel.groupBy("lhs_probe").agg(F.min("name").alias("left_name"))
+    right = panel.groupBy("rhs_probe").agg(F.min("name").alias("right_name"))
+    if (n := left.count()) > MOST_ARMS:
+        raise ValueError(f"{n} left arms: all combinations are made of {MOST_ARMS} at most")
+    pairs = left.crossJoin(F.broadcast(right)).join(panel, ["lhs_probe", "rhs_probe"], "left_anti")
     decoys = pairs.select(F.concat_ws("/", "left_name", "right_name").alias("name"), "lhs_probe", "rhs_probe", F.lit(False).alias("was_defined"))
     return panel.withColumn("was_defined", F.lit(True)).unionByName(decoys, allowMissingColumns=True)
 

@@ -16,42 +16,43 @@ from ..functions import max_distance
 from .fuzzy import coded, coded_hamming, pair_keys
 
 PAD = "~"
+GROUP = ["cell_idx", "probe_barcode"]
 
 
 def near_identifiers(nodes: DataFrame) -> DataFrame:
-    """(group, rank, earlier): which identifiers of a group are within its distance of ones visited before.
+    """(group, umi, rank, earlier): identifiers within the distance of ones of their group visited before, and which.
 
-    ``nodes`` is (group, rank, padded, d). Candidates share segments: pairs of them for the usual distances of 1 and 2,
-    single ones beyond. No (cell, sample) meets in one row or task.
+    ``nodes`` is (group, umi, rank, padded, d). Candidates share segments: pairs of them for the usual distances of 1
+    and 2, single ones beyond. No (cell, sample) meets in one row or task.
     """
     d, n = F.col("d"), F.length("padded")
     single = F.transform(F.sequence(F.lit(0), d.cast("int")), lambda i: F.struct(i.alias("i"), n.alias("n"), F.col("padded").substr(F.floor(n * i / (d + 1)).cast("int") + 1, (F.floor(n * (i + 1) / (d + 1)) - F.floor(n * i / (d + 1))).cast("int")).alias("s")))
     keys = F.when(d == 1, pair_keys(F.col("padded"), n, 1)).when(d == 2, pair_keys(F.col("padded"), n, 2)).otherwise(single)
-    keyed = nodes.select("group", "rank", "padded", "d", coded(F.col("padded")).alias("code"), F.explode(keys).alias("k"))
-    a, b = keyed.select("group", "k", *[F.col(c).alias(f"{c}_a") for c in ("rank", "padded", "code")]), keyed
-    both = a.join(b, ["group", "k"]).filter((F.col("rank_a") < F.col("rank")) & (coded_hamming(F.col("padded_a"), F.col("code_a"), F.col("padded"), F.col("code")) <= F.col("d")))
-    return both.groupBy("group", "rank").agg(F.array_sort(F.collect_set("rank_a")).alias("earlier"))
+    keyed = nodes.select(*GROUP, "umi", "rank", "padded", "d", coded(F.col("padded")).alias("code"), F.explode(keys).alias("k"))
+    a = keyed.withColumnsRenamed({c: f"{c}_a" for c in ("umi", "rank", "padded", "d", "code")})  # the same exchange serves both sides
+    both = a.join(keyed, [*GROUP, "k"]).filter((F.col("rank_a") < F.col("rank")) & (coded_hamming(F.col("padded_a"), F.col("code_a"), F.col("padded"), F.col("code")) <= F.col("d")) & (F.col("d_a") == F.col("d")))
+    return both.groupBy(*GROUP, "umi", "rank").agg(F.array_sort(F.collect_set(F.struct(F.col("rank_a").alias("rank"), F.col("umi_a").alias("umi")))).alias("earlier"))
 
 
 def _visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, rank, earlier) in order: each with the first earlier one that was accepted, or itself."""
-    group, accepted = None, set()
+    """Rows (cell, sample, umi, rank, earlier) in order: each with the first earlier one that was accepted, or itself."""
+    group, accepted, seen = None, set(), set()
     for batch in batches:
-        ids, ranks, taken = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-        for g, rank, earlier in zip(ids, ranks, batch.column(2).to_pylist()):
-            if g != group:
-                group, accepted, seen = g, set(), set()
-            to = rank
-            for x in earlier or ():
+        taken = []
+        for cell, sample, umi, rank, earlier in zip(*(c.to_pylist() for c in batch.columns)):
+            if (cell, sample) != group:
+                group, accepted, seen = (cell, sample), set(), set()
+            to = None
+            for x in earlier:
                 # One that has no earlier neighbour itself isn't among the rows and stands.
-                if x in accepted or x not in seen:
-                    to = x
+                if x["rank"] in accepted or x["rank"] not in seen:
+                    to = x["umi"]
                     break
             seen.add(rank)
-            if to == rank:
+            if to is None:
                 accepted.add(rank)
             taken.append(to)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(taken, pa.int64())], names=["group", "rank", "to"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(taken, pa.string())], names=["fix_cell", "fix_sample", "fix_umi", "taken"])
 
 
 def correct_umis(reads: DataFrame, per10: float = 1) -> DataFrame:
@@ -61,21 +62,19 @@ def correct_umis(reads: DataFrame, per10: float = 1) -> DataFrame:
     read; an identifier within the distance of an accepted one takes the first such, else is accepted. What an
     identifier is taken for is settled at its first visit, so the visit is over a sample's distinct identifiers, and it
     depends on earlier neighbours only: these are found by a join on segments, and the ordered pass is over identifiers
-    that have any, streamed in visiting order; the others stand as they are.
+    that have any, streamed in visiting order; the others stand as they are. Reads of no cell or sample keep theirs.
     """
-    pairs = reads.groupBy("cell_idx", "probe_barcode", "probe_idx", "umi").agg(F.count(F.lit(1)).alias("n"), F.min("read_id").alias("first_read"))
+    pairs = reads.groupBy(*GROUP, "probe_idx", "umi").agg(F.count(F.lit(1)).alias("n"), F.min("read_id").alias("first_read"))
     visit = F.struct((-F.col("probe_idx")).alias("p"), (-F.col("n")).alias("n"), "first_read")
-    first = pairs.groupBy("cell_idx", "probe_barcode", "umi").agg(F.min(visit).alias("visit"))
+    first = pairs.groupBy(*GROUP, "umi").agg(F.min(visit).alias("visit"))
     longest = F.max(F.length("umi")).over(Window.partitionBy("cell_idx"))
-    rank = F.row_number().over(Window.partitionBy("cell_idx", "probe_barcode").orderBy("visit", "umi")).cast("long")
-    nodes = first.select(F.struct("cell_idx", "probe_barcode").alias("key"), "umi", longest.alias("longest"), rank.alias("rank"))
-    nodes = nodes.select(F.to_json("key", {"ignoreNullFields": "false"}).alias("group"), "key", "umi", "rank", F.rpad("umi", F.col("longest"), PAD).alias("padded"), max_distance(F.col("longest"), per10).alias("d"))
-    visited = near_identifiers(nodes.select("group", "rank", "padded", "d")).repartition("group").sortWithinPartitions("group", "rank").mapInArrow(_visit, "group string, rank long, to long")
-    moved = visited.filter("to <> rank")
-    fixed = nodes.select("group", "rank", "key", "umi").join(moved, ["group", "rank"]).join(nodes.select("group", F.col("rank").alias("to"), F.col("umi").alias("corrected_umi")), ["group", "to"])
-    fixed = fixed.select("key.*", F.col("umi").alias("fix_umi"), "corrected_umi").withColumnsRenamed({"cell_idx": "fix_cell", "probe_barcode": "fix_sample"})
-    on = F.col("cell_idx").eqNullSafe(F.col("fix_cell")) & F.col("probe_barcode").eqNullSafe(F.col("fix_sample")) & (F.col("umi") == F.col("fix_umi"))
-    return reads.join(fixed, on, "left").select(*reads.columns, F.coalesce("corrected_umi", "umi").alias("corrected_umi"))
+    rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy("visit", "umi")).cast("long")
+    nodes = first.select(*GROUP, "umi", longest.alias("longest"), rank.alias("rank"))
+    nodes = nodes.select(*GROUP, "umi", "rank", F.rpad("umi", F.col("longest"), PAD).alias("padded"), max_distance(F.col("longest"), per10).alias("d"))
+    kinds = {c: reads.schema[c].dataType.simpleString() for c in GROUP}
+    fixed = near_identifiers(nodes).repartition(*GROUP).sortWithinPartitions(*GROUP, "rank").mapInArrow(_visit, f"fix_cell {kinds['cell_idx']}, fix_sample {kinds['probe_barcode']}, fix_umi string, taken string")
+    on = (F.col("cell_idx") == F.col("fix_cell")) & (F.col("probe_barcode") == F.col("fix_sample")) & (F.col("umi") == F.col("fix_umi"))
+    return reads.join(fixed.filter("taken is not null"), on, "left").select(*reads.columns, F.coalesce("taken", "umi").alias("corrected_umi"))
 
 
 def remove_chimeras(reads: DataFrame, umi: str = "corrected_umi") -> DataFrame:

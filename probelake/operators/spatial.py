@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tech import spatial_barcode
+from .genotypes import call_genotypes
+from .knn import impute_genotypes
 
 
 def bin_entries(entries: DataFrame, resolutions: tuple[int, ...] = (8,), base: int = 2) -> DataFrame:
@@ -44,4 +46,41 @@ def downsample(pixels: DataFrame, factor: int) -> DataFrame:
     return pixels.groupBy(F.floor(F.col("row") / factor).alias("row"), F.floor(F.col("col") / factor).alias("col")).agg(F.coalesce(F.avg(F.when(shown, F.col("value"))), F.lit(0.0)).alias("value"))
 
 
-__all__ = ["bin_entries", "downsample", "join_with_wta", "marginals", "spatial_barcode"]
+def genotype_map(calls: DataFrame, cells: DataFrame, probe: int) -> tuple[DataFrame, DataFrame]:
+    """((row, col, genotype), (genotype, n)) of one probe over all bins of ``cells`` (cell_idx, row, col); bins without a call have null."""
+    own = calls.filter(F.col("probe_idx") == probe).select("cell_idx", "genotype")
+    placed = cells.join(own, "cell_idx", "left").select("row", "col", "genotype")
+    return placed, placed.groupBy("genotype").agg(F.count(F.lit(1)).alias("n"))
+
+
+def impute_by_resolution(entries: DataFrame, clusters: DataFrame, resolutions: tuple[int, ...] = (2, 8, 16), threshold: float = 0.5, **options) -> DataFrame:
+    """(resolution, row, col, probe_idx, genotype, certainty): imputation on every grid, of the calls made on it.
+
+    ``clusters`` is (resolution, row, col, cluster). Options go to ``impute_genotypes``.
+    """
+    out = None
+    for r in resolutions:
+        at = F.xxhash64("row", "col")
+        binned = bin_entries(entries, (r,)).withColumn("cell_idx", at)
+        own = clusters.filter(F.col("resolution") == r).select(at.alias("cell_idx"), "cluster", "row", "col")
+        found = impute_genotypes(call_genotypes(binned, threshold), own.select("cell_idx", "cluster"), **options)[0]
+        part = found.join(own.select("cell_idx", "row", "col"), "cell_idx").select(F.lit(r).alias("resolution"), "row", "col", "probe_idx", "genotype", "certainty")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no resolutions")
+    return out
+
+
+def check_spatial(cells: DataFrame) -> None:
+    """An error unless cells have places on the grid."""
+    if lost := [c for c in ("row", "col") if c not in cells.columns]:
+        raise ValueError(f"not a spatial table: it lacks {lost}")
+
+
+def check_genotypes(calls: DataFrame) -> None:
+    """An error unless a table holds genotype calls."""
+    if lost := [c for c in ("cell_idx", "probe_idx", "genotype") if c not in calls.columns]:
+        raise ValueError(f"call genotypes first: {lost} are missing")
+
+
+__all__ = ["bin_entries", "check_genotypes", "check_spatial", "downsample", "genotype_map", "impute_by_resolution", "join_with_wta", "marginals", "spatial_barcode"]

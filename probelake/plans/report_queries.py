@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import counts, genotypes, knn, molecules, report
+from ..operators import align, counts, genotypes, knn, molecules, report, spatial
 from . import bindings as b
 from .registry import query, r6
 
@@ -330,3 +330,30 @@ def genotype_imputation(spark, d):
     calls = genotypes.call_genotypes(b.entries(spark, d), 0.6)
     cells = calls.select("cell_idx", (F.col("cell_idx") % 7).alias("cluster")).distinct()
     return knn.impute_genotypes(calls, cells, k=5)[0].withColumn("certainty", F.round("certainty", 6))
+
+
+@query(f"""with {b.SPATIAL_SQL}, f as (select *, row_number() over w k, sum(n_umis) over w upto, sum(n_umis) over (partition by "row", col) total from entries where probe_idx = 1 window w as (partition by "row", col order by n_umis desc, gapfill desc rows unbounded preceding))
+select "row", col, string_agg(gapfill, '/' order by k) genotype from f where upto - n_umis < 0.5 * total group by "row", col""")
+def spatial_genotypes(spark, d):
+    e = b.spatial_entries(spark, d).withColumn("cell_idx", F.col("row") * 64 + F.col("col"))
+    cells = e.filter("probe_idx = 1").select("cell_idx", "row", "col").distinct()
+    return spatial.genotype_map(genotypes.call_genotypes(e), cells, 1)[0]
+
+
+@query(f"""with {b.SPATIAL_SQL}, a as (select r resolution, cast("row" // (r // 2) as bigint) "row", cast(col // (r // 2) as bigint) col, probe_idx, gapfill, cast(sum(n_umis) as bigint) n_umis from entries, (select unnest([8, 16]) r) where not (("row" // 8 + col // 8 + probe_idx) % 4 = 0) group by all),
+k as (select *, sum(n_umis) over w upto, sum(n_umis) over (partition by resolution, "row", col, probe_idx) total from a window w as (partition by resolution, "row", col, probe_idx order by n_umis desc, gapfill desc rows unbounded preceding)),
+c as (select resolution, "row", col, probe_idx, string_agg(gapfill, '/' order by n_umis desc, gapfill desc) genotype from k where upto - n_umis < 0.5 * total group by all),
+v as (select resolution, probe_idx, "row", col, string_split(genotype, '/') s from c),
+calls as (select resolution, count(*) n_calls, count(distinct ("row", col)) n_bins from v group by 1) select cast(resolution as int) resolution, n_calls, n_bins from calls""")
+def calls_by_resolution(spark, d):
+    """Calls on two grids, of bins that lack some probes."""
+    e = b.spatial_entries(spark, d).filter("not ((floor(row / 8) + floor(col / 8) + probe_idx) % 4 = 0)")
+    parts = [genotypes.call_genotypes(spatial.bin_entries(e, (r,)).withColumn("cell_idx", F.struct("row", "col"))).agg(F.lit(r).alias("resolution"), F.count(F.lit(1)).alias("n_calls"), F.countDistinct("cell_idx").alias("n_bins")) for r in (8, 16)]
+    return parts[0].unionByName(parts[1])
+
+
+@query(None)
+def aligned_gapfills(spark, d):
+    """Gapfills of two lengths, aligned by a dynamic programme; SQL has none."""
+    e = b.entries(spark, d)
+    return align.align_gapfills(genotypes.genotype_frequencies(e, e, "raw"))
