@@ -2,8 +2,9 @@
 
 Terms are the distinct lower-cased words of a text, as 64-bit hashes. Document frequencies are counted by term over
 all documents. The terms in the band are never held in one place: each range of ids (below) gets those that its texts
-have, in ``BUCKETS`` buckets to look them up by. As a range's texts are together anyway, this takes no shuffle of terms
-where the lexicon is small enough to broadcast, by its counted rows; else terms meet the lexicon by a shuffle.
+have, in ``BUCKETS`` buckets to look them up by. As a range's texts are together anyway, its distinct terms take no
+shuffle of their own; they are written, and meet the lexicon by a broadcast where that is small, by its counted rows,
+else by a shuffle.
 A text's terms in the band are sorted; where fewer than ``FEWEST`` are, all its terms count. Each subset of the lexicon
 keeps a term at random with a fixed rate (``REPEATS`` subsets at each of ``RATES``), and hashes what it keeps of the
 sorted terms. The fingerprint is those hashes; the likeness of two is the share of equal ones among subsets that keep a
@@ -52,14 +53,18 @@ def bucket(term: Column) -> Column:
     return term.bitwiseAND(BUCKETS - 1).cast("int")
 
 
-def held_terms(rows: DataFrame, lex: DataFrame, *texts: str) -> DataFrame:
-    """(im_range, im_lex): the lexicon's terms that a range's texts have, an array of ``BUCKETS`` arrays.
+def used_terms(rows: DataFrame, *texts: str) -> DataFrame:
+    """(im_range, b, term): the distinct terms of a range's texts and their buckets; each bucket also has a row without a term.
 
-    ``rows`` lie by im_range and hold the ranges' copied rows, one a range, which also stand for buckets without terms.
+    ``rows`` lie by im_range, so this shuffles nothing more; the ranges' copied rows, one a range, stand for the buckets.
     """
     own = F.transform(F.array_distinct(F.flatten(F.array(*[terms(F.col(t)) for t in texts]))), lambda t: F.struct(bucket(t).alias("b"), t.alias("term")))
     none = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.struct(i.alias("b"), F.lit(None).cast("long").alias("term")))
-    used = rows.select("im_range", F.explode(F.when(F.col("im_copy") == 1, F.concat(own, none)).otherwise(own)).alias("u")).select("im_range", "u.b", "u.term").distinct()
+    return rows.select("im_range", F.explode(F.when(F.col("im_copy") == 1, F.concat(own, none)).otherwise(own)).alias("u")).select("im_range", "u.b", "u.term").distinct()
+
+
+def held_terms(used: DataFrame, lex: DataFrame) -> DataFrame:
+    """(im_range, im_lex): the lexicon's terms among those that a range uses, an array of ``BUCKETS`` arrays."""
     known = maybe_broadcast(lex).withColumn("im_known", F.lit(True))
     used = used.join(known, "term", "left").filter("im_known or term is null")
     held = used.groupBy("im_range", "b").agg(F.collect_list("term").alias("ts")).groupBy("im_range").agg(F.sort_array(F.collect_list(F.struct("b", "ts"))).alias("held"))
@@ -68,7 +73,7 @@ def held_terms(rows: DataFrame, lex: DataFrame, *texts: str) -> DataFrame:
 
 def with_lexicon(rows: DataFrame, lex: DataFrame, *texts: str) -> DataFrame:
     """``rows`` with im_lex of their range."""
-    return rows.join(cut(held_terms(rows, lex, *texts)), "im_range", "left")
+    return rows.join(cut(held_terms(cut(used_terms(rows, *texts)), lex)), "im_range", "left")
 
 
 def fingerprint(text: Column, lex: Column) -> Column:
@@ -105,7 +110,7 @@ def order(id: str, text: str):
 def with_next(df: DataFrame, id: str, text: str, ranges: int | None = None, copies: bool = False) -> DataFrame:
     """(id, text, im_range, im_next): the next row's text is taken by id. With ``copies``, also the ranges' copied rows, with im_copy 1."""
     spark = df.sparkSession
-    ranges = ranges or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = df.select(id).filter(F.col(id).isNotNull())
     firsts = ids.repartitionByRange(ranges, id).groupBy(F.spark_partition_id()).agg(F.min(id).alias("first")).collect()
     firsts = sorted(r["first"] for r in firsts)  # one a range
@@ -146,8 +151,9 @@ def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     """(id, text, im_text, im_own, im_edited, im_after): a row's fingerprint, its edited text's, and the next row's."""
     lex = cut(lexicon(df, text))
     rows = edited(with_next(df, id, text, copies=True), text)
-    held = cut(held_terms(rows, lex, text, "im_splice"))
-    discard(lex)
+    used = cut(used_terms(rows, text, "im_splice"))  # written, so that the texts' shuffle files go before terms are shuffled
+    held = cut(held_terms(used, lex))
+    discard(lex, used)
     rows = rows.drop("im_splice", "im_next").join(held, "im_range", "left")
     rows = rows.withColumns({"im_own": fingerprint(F.col(text), F.col("im_lex")), "im_edited": F.when(F.col("im_copy") == 0, fingerprint(F.col("im_text"), F.col("im_lex")))}).drop("im_lex")
     return rows.withColumn("im_after", F.lead("im_own").over(order(id, text))).filter("im_copy = 0").select(id, text, "im_text", "im_own", "im_edited", "im_after")
