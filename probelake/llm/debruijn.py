@@ -1,18 +1,24 @@
-"""Substring dedup over the de Bruijn graph of word windows.
+"""Substring dedup over the de Bruijn graph of word windows, compacted into nonbranching paths.
 
-A window of 35 words is an edge, between the 34-word sequences that it starts and ends with. Windows meet by a 64-bit
-hash, with where they start and marks of the windows before and after. An edge found once is of no interest. Where all
-occurrences of a repeated edge have the same neighbour on a side, the graph doesn't branch there: a document's
-repeated edges are compacted, by a join on its key, into nonbranching paths, cut where a neighbour differs and where
-repeats end. So a passage shared by many texts is one path with one row a text, however long it is.
+A window of 35 words is an edge, between the 34-word sequences that it starts and ends with. To list every edge would
+take several times the text's own size, so edges come in runs: each document is cut into maximal runs of windows that
+share their minimizer (the window's least 8-word hash, its first occurrence), a run known by its minimizer and the hash
+of all its words. Equal windows have equal minimizers, so all that can be equal meets. A run found twice repeats all its
+edges; a minimizer with one run repeats none; only where one minimizer has several runs may the graph branch, and only
+those are opened, one copy of each, into windows that are compared one by one.
 
-Hashes only propose. Paths go back to the words at their source coordinates: two of equal words, by a 128-bit
-cryptographic digest, are repeats. A path that no other equals (hashes may collide, and a hot edge may have been cut
-elsewhere) is opened: all occurrences of its windows, in whatever path, are compared by digests of their words.
+Repeated runs are then compacted: each occurrence knows marks of the runs before and after it, and where all
+occurrences of a run have the same neighbour the graph doesn't branch. So a document's repeated runs are joined, by its
+key, into nonbranching paths, cut where neighbours differ and where repeats end: a passage shared by many texts is one
+path with one row a text, however long it is.
 
-An edge found often in one task's chunk of rows is hot: its rows take the neighbours known there, go anywhere at
-random, and one row for all of them goes to where its other occurrences meet. So no task gets all rows of a hot edge.
-Windows are judged on the input alone.
+Hashes (of 96 bits) only propose. Paths and windows go back to the words at their source coordinates: only those whose
+words, by a 128-bit cryptographic digest, are found twice are repeats. A path that no other equals, as marks may
+collide, is taken apart into its runs, which are compared with all occurrences of theirs in the same way.
+
+Runs found often in one task's chunk of rows are hot: they are known to be repeated, go anywhere at random, and one of
+them goes to where their other occurrences meet. Minimizers of many runs are dealt out by run. So no task gets all
+rows of a hot run or minimizer. Windows are judged on the input alone.
 
 Rows are known by a hash of id and text, so null ids and ids that repeat with other texts are rows like others; equal
 rows are copies, and each gets its row. Null text has no words; texts of fewer words than a window lose none. Very
@@ -26,17 +32,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard, maybe_broadcast, table
-from .hashing import U, window_hashes, word_hashes
+from .hashing import U, mixed, run_hashes, sliding_first_min, window_hashes, word_hashes
 
-WINDOW = 35
-#: Occurrences in a chunk of so many rows that make an edge hot.
-HOT, CHUNK = 16, 1 << 20
+WINDOW, KMER = 35, 8
+#: Occurrences in a chunk of so many rows that make a run hot; the share and number of all rows that make a minimizer hot.
+HOT, CHUNK = 16, 1 << 18
+HOT_SHARE, HOT_LEAST = 50_000, 1000
 #: Marks of neighbours: what is beyond a text's end, and what differs among the rows that a row stands for.
 NONE, SEVERAL = 1 << 16, (1 << 16) + 1
+_OTHER = U(0xA0761D6478BD642F)
+RUN = ["m", "s1", "s2", "n"]
 
 
 def _bytes(t) -> bytes:
@@ -47,87 +56,104 @@ def keyed(df: DataFrame, id: str, text: str) -> DataFrame:
     return df.select(F.xxhash64(id, text).alias("db_key"), F.col(id).alias("db_id"), F.col(text).alias("db_text"))
 
 
-def edges(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, before, after, key, at, kind) of every window: kind 0; 1 if hot; 2 for the row that stands for a chunk's hot ones."""
+def runs(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+    """(m, s1, s2, n, before, after, key, first, kind): runs of n windows, marks of their neighbours, and where they start.
+
+    kind: 0; 1 if hot; 2 for a copy of a hot one that stands for its chunk's.
+    """
+    names = [*RUN, "before", "after", "key", "first", "kind"]
 
     def dealt(parts):
-        h, before, after, key, at = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(h, kind="stable")
-        h, before, after, key, at = (x[order] for x in (h, before, after, key, at))
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(first, len(h)))
-        often = size > HOT
-        kind = np.repeat(often, size).astype(np.int8)
-        one = lambda x: np.where(np.minimum.reduceat(x, first) == np.maximum.reduceat(x, first), x[first], SEVERAL)[often]
+        m, s1, s2, n, before, after, key, first = (np.concatenate(x) for x in zip(*parts))
+        _, some, of, counts = np.unique(s1, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(of, kind="stable")
+        starts = np.cumsum(counts) - counts
+        often = counts > HOT
+        one = lambda x: np.where(np.minimum.reduceat(x[order], starts) == np.maximum.reduceat(x[order], starts), x[some], SEVERAL)
+        hot = often[of]
+        # Hashes of 64 bits choose what is hot; where the rest differs, the rows are left as they are.
+        for x in (m, s2, n):
+            hot &= (np.minimum.reduceat(x[order], starts) == np.maximum.reduceat(x[order], starts))[of]
         b, a = one(before), one(after)
-        hot = np.flatnonzero(kind)
-        if len(hot):  # hot rows know their neighbours' marks as far as the chunk tells
-            before[hot], after[hot] = np.repeat(b, size[often]), np.repeat(a, size[often])
-            n = len(b)
-            h, before, after = np.concatenate([h, h[first][often]]), np.concatenate([before, b]), np.concatenate([after, a])
-            key, at, kind = np.concatenate([key, np.zeros(n, np.int64)]), np.concatenate([at, np.zeros(n, np.int32)]), np.concatenate([kind, np.full(n, 2, np.int8)])
-        for i in range(0, len(h), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (h, before, after, key, at, kind)], names=["h", "before", "after", "key", "at", "kind"])
+        before, after = np.where(hot, b[of], before), np.where(hot, a[of], after)
+        stand = some[often & hot[some]]
+        cols = [np.concatenate([x, x[stand]]) for x in (m, s1, s2, n, before, after, key, first)]
+        cols.append(np.concatenate([hot.astype(np.int8), np.full(len(stand), 2, np.int8)]))
+        for i in range(0, len(cols[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in cols], names=names)
 
     def run(batches):
         parts, held = [], 0
         for batch in batches:
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h = window_hashes(word_hashes(_bytes(t)), window)
-                if not len(h):
+                h = word_hashes(_bytes(t))
+                if len(h) < window:
                     continue
-                mark = (h >> U(48)).astype(np.int32)
-                end = np.full(1, NONE, np.int32)
-                parts.append((h.view(np.int64), np.concatenate([end, mark[:-1]]), np.concatenate([mark[1:], end]), np.full(len(h), key, np.int64), np.arange(len(h), dtype=np.int32)))
-                held += len(h)
+                k = window_hashes(h, kmer)
+                at = sliding_first_min(k, window - kmer + 1)
+                first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+                n = np.diff(np.append(first, len(at)))
+                s1 = run_hashes(h, first, first + n + window - 1)
+                s1 = mixed(s1 + (at[first] - first).astype(np.uint64))
+                s2 = run_hashes(mixed(h ^ _OTHER), first, first + n + window - 1)
+                mark, end = (s1 >> U(48)).astype(np.int32), np.full(1, NONE, np.int32)
+                parts.append((
+                    k[at[first]].view(np.int64), s1.view(np.int64), (s2 >> U(32)).astype(np.uint32).view(np.int32), n.astype(np.int32),
+                    np.concatenate([end, mark[:-1]]), np.concatenate([mark[1:], end]), np.full(len(n), key, np.int64), first.astype(np.int32),
+                ))
+                held += len(n)
                 if held >= CHUNK:
                     yield from dealt(parts)
                     parts, held = [], 0
         if held:
             yield from dealt(parts)
 
-    return texts.select("db_key", "db_text").mapInArrow(run, "h long, before int, after int, key long, at int, kind byte")
+    return texts.select("db_key", "db_text").mapInArrow(run, "m long, s1 long, s2 int, n int, before int, after int, key long, first int, kind byte")
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """Rows of ``runs`` that are repeated or may branch: twice, branch (one copy of each run that may), opens, ends."""
+    hot = found.filter("kind = 1").withColumns({"twice": F.lit(True), "branch": F.lit(False), "opens": F.col("before") >= NONE, "ends": F.col("after") >= NONE})
+    rest = found.filter("kind <> 1")
+    limit = max(HOT_LEAST, found.count() // HOT_SHARE)
+    many = rest.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > limit).select("m", F.ceil(F.col("c") / limit).alias("salts"))
+    salted = rest.join(F.broadcast(cut(many)), "m", "left")  # HOT_SHARE rows at most
+    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("s1", "s2", "n"), F.col("salts")), F.lit(0)).cast("int"))
+    group = Window.partitionBy("m", "salt")
+    w, equal = group.orderBy("s1", "s2", "n"), Window.partitionBy("m", "salt", "s1", "s2", "n")
+    same = lambda f: F.coalesce((f("s1").over(w) == F.col("s1")) & (f("s2").over(w) == F.col("s2")) & (f("n").over(w) == F.col("n")), F.lit(False))
+    key = F.struct("s1", "s2", "n")
+    differs = lambda c: (F.min(c).over(equal) != F.max(c).over(equal)) | (F.max(c).over(equal) >= NONE)
+    out = salted.withColumns({"prior": same(F.lag), "next": same(F.lead), "lo": F.min(key).over(group), "hi": F.max(key).over(group), "opens": differs("before"), "ends": differs("after")})
+    out = out.withColumn("twice", F.col("prior") | F.col("next") | (F.col("kind") == 2))
+    out = out.withColumn("branch", (F.col("salts").isNotNull() | (F.col("lo") != F.col("hi"))) & ~F.col("prior"))
+    names = [*RUN, "key", "first", "twice", "branch", "opens", "ends"]
+    return out.select(*names).union(hot.select(*names)).filter("twice or branch")
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """(h, key, at, opens, ends) of occurrences of edges that are found more than once: whether a path is cut before, and after."""
-    names = ["h", "key", "at", "opens", "ends"]
+def _opened(texts: DataFrame, window: int) -> DataFrame:
+    """(w1, w2, key, at, sure): hashes of the windows of (db_key, db_text, path), whose runs may be known to repeat."""
 
     def run(batches):
-        keep = None
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
-            hot = cols[5] == 1
-            if hot.any():
-                h, before, after, key, at = (c[hot] for c in cols[:5])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, key, at, before >= NONE, after >= NONE)], names=names)
-            cols = [c[~hot] for c in cols]
-            if keep is not None:
-                cols = [np.concatenate(x) for x in zip(keep, cols)]
-            if len(cols[0]):
-                last = cols[0] == cols[0][-1]  # its rows may go on: those that aren't hot, and one a chunk for hot ones
-                keep = [c[last] for c in cols]
-                yield from settle([c[~last] for c in cols])
-        if keep is not None:
-            yield from settle(keep)
+            w1, w2, key, at, sure = [], [], [], [], []
+            for k, t, path in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                h = word_hashes(_bytes(t))
+                a, b = window_hashes(h, window), window_hashes(mixed(h ^ _OTHER), window)
+                for x in path:
+                    p = np.arange(x["first"], min(len(a), x["first"] + x["n"]))
+                    w1.append(a[p]), w2.append(b[p]), at.append(p), key.append(np.full(len(p), k)), sure.append(np.full(len(p), x["twice"]))
+            if w1:
+                w1, w2, key, at, sure = (np.concatenate(x) for x in (w1, w2, key, at, sure))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w1.view(np.int64)), pa.array((w2 >> U(32)).astype(np.uint32).view(np.int32)), pa.array(key.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(sure.astype(bool))], names=["w1", "w2", "key", "at", "sure"]
+                )
 
-    def settle(cols):
-        h, before, after, key, at, kind = cols
-        if not len(h):
-            return
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(first, len(h)))
-        twice = np.add.reduceat(np.where(kind == 2, 2, 1), first) > 1
-        cuts = lambda x: np.repeat((np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)) | (np.maximum.reduceat(x, first) >= NONE), size)
-        stay = np.repeat(twice, size) & (kind == 0)
-        yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (h, key, at, cuts(before), cuts(after))], names=names)
+    return texts.mapInArrow(run, "w1 long, w2 int, key long, at int, sure boolean")
 
-    dealt = found.repartition(F.when(F.col("kind") == 1, F.xxhash64("key", "at")).otherwise(F.col("h")))
-    return dealt.sortWithinPartitions(F.col("kind") == 1, "h").mapInArrow(run, "h long, key long, at int, opens boolean, ends boolean")
 
-
-def paths(edges_: DataFrame) -> DataFrame:
-    """(key, path): each row's repeated edges compacted, an array of (first, n): n windows from the word ``first`` on."""
+def paths(rows: DataFrame) -> DataFrame:
+    """(key, first, n): a row's repeated runs (key, first, n, opens, ends) compacted into nonbranching paths."""
 
     def run(batches):
         keep = None
@@ -142,63 +168,69 @@ def paths(edges_: DataFrame) -> DataFrame:
         if keep is not None:
             yield from settle(*keep)
 
-    def settle(key, at, opens, ends):
+    def settle(key, at, n, opens, ends):
         if not len(key):
             return
-        same = np.concatenate([[False], (key[1:] == key[:-1]) & (at[1:] == at[:-1])])  # of equal rows
-        key, at, opens, ends = (x[~same] for x in (key, at, opens, ends))
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1) | opens[1:] | ends[:-1]])
+        same = np.concatenate([[False], (key[1:] == key[:-1]) & (at[1:] == at[:-1])])  # of equal rows, and of copies that stand for hot ones
+        key, at, n, opens, ends = (x[~same] for x in (key, at, n, opens, ends))
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1] + n[:-1]) | opens[1:] | ends[:-1]])
         first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(at)))
-        yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(at[first]), pa.array(n.astype(np.int32))], names=["key", "first", "n"])
-
-    rows = edges_.select("key", "at", "opens", "ends").repartition("key").sortWithinPartitions("key", "at").mapInArrow(run, "key long, first int, n int")
-    return rows.groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("path"))
-
+        yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(at[first]), pa.array(np.add.reduceat(n, first).astype(np.int32))], names=["key", "first", "n"])
 
-def _digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    return rows.select("key", "first", "n", "opens", "ends").repartition("key").sortWithinPartitions("key", "first", F.desc("opens"), F.desc("ends")).mapInArrow(run, "key long, first int, n int")
 
 
-def digests(texts: DataFrame, window: int, single: bool = False) -> DataFrame:
-    """(digest, key, first, n) of the words of (db_key, db_text, path); ``single``: of each window on its own."""
+def digests(texts: DataFrame, window: int) -> DataFrame:
+    """(digest, key, first, n, kind) of the words of (db_key, db_text, path)."""
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for key, t, path in zip(*batch.columns):
+            out: list[list] = [[], [], [], [], []]
+            for key, t, path in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 ws = _bytes(t).split()
-                for x in path.as_py():
-                    for first, n in [(x["first"] + i, 1) for i in range(x["n"])] if single else [(x["first"], x["n"])]:
-                        if first + n + window - 1 <= len(ws):
-                            for col, v in zip(out, (_digest(ws[first : first + n + window - 1]), key.as_py(), first, n)):
-                                col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int32(), pa.int32()))], names=["digest", "key", "first", "n"])
+                for x in path:
+                    end = x["first"] + x["n"] + window - 1
+                    if end <= len(ws):
+                        digest = hashlib.blake2b(b" ".join(ws[x["first"] : end]), digest_size=16).digest()
+                        for col, v in zip(out, (digest, key, x["first"], x["n"], x["kind"])):
+                            col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["digest", "key", "first", "n", "kind"])
 
-    return texts.mapInArrow(run, "digest binary, key long, first int, n int")
+    return texts.mapInArrow(run, "digest binary, key long, first int, n int, kind int")
 
 
-def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeats(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """(key, path): for each row of ``keyed`` with any, the (first, n) of windows that also start elsewhere."""
-    found = cut(repeated(edges(texts, window)))
-    made = cut(paths(found))
+    found = cut(runs(texts, window, kmer))
+    known = cut(judged(found))
+    discard(found)
 
-    def at(chosen: DataFrame) -> DataFrame:
+    def at(rows: DataFrame, *cols: str) -> DataFrame:
+        """(db_key, db_text, path) for rows (key, cols); of equal rows of the table, each."""
+        chosen = cut(rows.groupBy("key").agg(F.collect_list(F.struct(*cols)).alias("path")))
         return texts.join(maybe_broadcast(chosen), F.col("db_key") == F.col("key")).select("db_key", "db_text", "path")
 
-    seen = cut(digests(at(made), window))
-    counts = seen.groupBy("digest", "n").agg(F.count(F.lit(1)).alias("c"))
-    sure = cut(seen.join(maybe_broadcast(cut(counts.filter("c = 1").select("digest", "n"))), ["digest", "n"], "left_anti").select("key", "first", "n"))
-    alone = cut(made.select("key", F.explode("path").alias("p")).select("key", "p.first", "p.n").join(sure, ["key", "first", "n"], "left_anti"))
+    opened = cut(_opened(at(known.filter("branch"), "first", "n", "twice"), window))
+    several = opened.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2")
+    single = cut(opened.join(several, ["w1", "w2"], "left_semi").select("key", F.col("at").alias("first"), F.lit(1).alias("n"), F.when(F.col("sure"), 2).otherwise(1).alias("kind")).distinct())
+    discard(opened)
+    made = cut(paths(known.filter("twice")))
+    seen = cut(digests(at(made.withColumn("kind", F.lit(0)).unionByName(single), "first", "n", "kind"), window))
+    discard(single)
+    counts = seen.groupBy("digest", "n", (F.col("kind") > 0).alias("window")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest", "n", "window")
+    sure = cut(seen.withColumn("window", F.col("kind") > 0).join(counts, ["digest", "n", "window"], "left_semi").filter("kind < 2").select("key", "first", "n", "kind").distinct())
+    alone = made.join(sure.filter("kind = 0"), ["key", "first", "n"], "left_anti")
+    alone = cut(alone.select("key", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi")))
+    spans = sure.select("key", "first", "n")
     if alone.limit(1).count():
-        opened = alone.select("key", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("at"))
-        edges_ = cut(found.join(maybe_broadcast(cut(opened)), ["key", "at"], "left_semi").select("h").distinct())
-        every = found.join(maybe_broadcast(edges_), "h", "left_semi").groupBy("key").agg(F.collect_set(F.struct(F.col("at").alias("first"), F.lit(1).alias("n"))).alias("path"))
-        single = cut(digests(at(cut(every)), window, True))
-        twice = single.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest")
-        sure = sure.unionByName(single.join(maybe_broadcast(cut(twice)), "digest", "left_semi").select("key", "first", "n"))
-    out = cut(sure.distinct().groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("path")))
-    discard(found, made, seen)
+        twice = known.filter("twice")
+        parts = twice.join(maybe_broadcast(alone), "key").filter("first >= lo and first < hi").select(*RUN).distinct()
+        every = twice.join(maybe_broadcast(cut(parts)), RUN, "left_semi").select("key", "first", "n", F.lit(0).alias("kind")).distinct()
+        again = cut(digests(at(every, "first", "n", "kind"), window))
+        more = again.groupBy("digest", "n").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest", "n")
+        spans = spans.unionByName(again.join(more, ["digest", "n"], "left_semi").select("key", "first", "n"))
+    out = cut(spans.distinct().groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("path")))
+    discard(known, made, seen)
     return out
 
 

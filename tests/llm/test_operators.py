@@ -259,9 +259,19 @@ def test_hot_edges_are_dealt_out(spark, docs, monkeypatch, hot, chunk):
     assert got == sorted(h.without_repeats(DOCS), key=str)
 
 
+@pytest.mark.parametrize("least", [2, 1000])
+def test_hot_minimizers_are_dealt_out_by_run(spark, docs, monkeypatch, least):
+    monkeypatch.setattr(debruijn, "HOT_LEAST", least)
+    got = rows(debruijn.without_repeats(docs), "doc_id", "n_removed", "kept")
+    assert got == sorted(h.without_repeats(DOCS), key=str)
+
+
 def test_words_verify_what_hashes_propose(spark, docs, monkeypatch):
-    """With hashes of 6 bits nearly every window seems repeated; only those whose words are go."""
-    monkeypatch.setattr(debruijn, "window_hashes", lambda h, k: window_hashes(h, k) & np.uint64(63 << 50))
+    """Marks that all collide make wrong paths, and hashes of windows that all collide propose every opened one: only repeats of words go."""
+    judged = debruijn.judged
+    monkeypatch.setattr(debruijn, "judged", lambda found: judged(found.withColumns({"before": F.lit(1), "after": F.lit(1)})))
+    opened = debruijn._opened
+    monkeypatch.setattr(debruijn, "_opened", lambda t, w: opened(t, w).withColumns({"w1": F.lit(7).cast("long"), "w2": F.lit(7)}))
     got = rows(debruijn.without_repeats(docs), "doc_id", "n_removed", "kept")
     assert got == sorted(h.without_repeats(DOCS), key=str)
 
