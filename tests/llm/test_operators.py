@@ -78,6 +78,28 @@ def test_redaction_keeps_the_rest(spark, docs):
             assert got[i] == "[assign] and [access] and [hex]"
 
 
+def test_many_matches_of_a_long_text(spark):
+    """More matches than one fold holds, some of them within others, with letters beyond ASCII between."""
+    rng = random.Random(11)
+    parts = []
+    for i in range(900):
+        parts.append(rng.choice(["é 𝔘 ", "x ", "\n"]))
+        parts.append(rng.choice([f"token={'ab' * rng.randrange(2, 5)}", "".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(20, 40))), f"secret: {'0123456789abcdef' * 2}.{'fedcba9876543210' * 2}", "AKIA" + "Z" * rng.randrange(10, 30), "plain words"]))
+    t = "".join(parts)
+    d = spark.createDataFrame([(0, t), (1, "nothing here"), (2, None)], "doc_id long, text string")
+    scanned = secrets.scan(d)
+    got = {r["doc_id"]: [tuple(x) for x in r["sc_base"]] for r in scanned.collect()}
+    want = h.spans(t)
+    assert len(want) > 2 * secrets.FOLD and got[0] == want and got[1] == got[2] == []
+    all_spans = [tuple(x) for x in scanned.filter("doc_id = 0").first()["sc_spans"]]
+    out, at = [], 0
+    for a, k, b in all_spans:
+        if a >= at:
+            out += [t[at:a], f"[{secrets.KINDS[k]}]"]
+        at = max(at, b)
+    assert secrets.redact(scanned).filter("doc_id = 0").first()["text"] == "".join(out) + t[at:]
+
+
 def whole(t):
     e = tokens.Encoder.at(tokens.tokenizer_path())
     return e.library.encode(t or "", add_special_tokens=False).ids
@@ -320,6 +342,19 @@ def test_packing(spark, sf):
     assert max(sizes) <= 4096 and sum(x < 4096 for x in sizes) <= 1
 
 
+def test_very_long_text(spark):
+    """200,000 words: counted, packed, scanned and joined whole."""
+    rng = random.Random(12)
+    t = " ".join(f"w{rng.randrange(3000)}" for _ in range(200_000))
+    d = spark.createDataFrame([(0, t), (1, t + " end"), (2, "short")], "doc_id long, text string")
+    counts = {r["doc_id"]: (r["n_tokens"], r["n_chunks"]) for r in tokens.count_tokens(d).collect()}
+    assert counts[0][0] == len(whole(t)) and counts[0][1] > 1
+    assert packing.pack(d).filter("doc_id = 0").agg(F.sum("length")).first()[0] == counts[0][0] + 1
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(d).collect()} == {0: 0, 1: 0, 2: 2}
+    gone = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in debruijn.without_repeats(d).collect()}
+    assert gone == {0: (200_000, ""), 1: (200_000, "end"), 2: (0, "short")}
+
+
 def test_packer_windows():
     p = packing.Packer(10, 2, 0)
     for i, n in enumerate([7, 6, 5, 3, 12, 1, 9]):
