@@ -82,3 +82,15 @@ def test_every_cell_and_probe_has_a_call(spark):
     e = spark.createDataFrame([(0, 0, "A", 2)], "cell_idx long, probe_idx long, gapfill string, n_umis long")
     got = {(r["cell_idx"], r["genotype"], r["n_umis"], r["proportion"]) for r in genotypes.call_genotypes(e, cells=spark.createDataFrame([(0,), (1,)], "cell_idx long")).collect()}
     assert got == {(0, "A", 2, 1.0), (1, None, 0, 0.0)}
+
+
+def test_small_readers(spark, tmp_path):
+    from probelake.operators import filters
+    from probelake.sources import read_coordinates, read_truth
+
+    (tmp_path / "at.txt").write_text("AAA\t1\t2\n")
+    (tmp_path / "truth.csv").write_text("cell_type,0,1,name\nA,ACT,,p1\nB,ACT,CCT,p1\n")
+    assert [tuple(r) for r in read_coordinates(spark, str(tmp_path / "at.txt")).collect()] == [("AAA", 1, 2)]
+    assert {(r["cell_type"], tuple(r["alleles"])) for r in read_truth(spark, str(tmp_path / "truth.csv")).collect()} == {("A", ("ACT",)), ("B", ("ACT", "CCT"))}
+    d = spark.createDataFrame([(1, 1), (5, 1), (1, 9)], "row long, col long")
+    assert d.filter(filters.in_box(F.col("row"), F.col("col"), 0, 0, 2, 2)).count() == 1
