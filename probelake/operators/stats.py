@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,29 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_count(y, x).alias("n"))
 
 
+def density(df: DataFrame, x: str, y: str, bins: int = 64) -> DataFrame:
+    """(x, y, n, density): a Gaussian kernel density over a grid of ``bins`` x ``bins`` cells that hold rows, at their centres.
+
+    Rows are counted by cell first, so what meets in one task is bins squared at most; the bandwidth is Silverman's.
+    """
+    ends = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.stddev_samp(x).alias("sx"), F.stddev_samp(y).alias("sy"), F.count(F.lit(1)).alias("n")).first()  # one row
+    if not ends["n"]:
+        return df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("density"))
+    wx, wy = ((ends[f"{c}1"] - ends[f"{c}0"]) / bins or 1.0 for c in "xy")
+    cell = lambda c, low, w: F.least(F.lit(bins - 1), F.floor((F.col(c) - low) / w))
+    counts = df.groupBy(cell(x, ends["x0"], wx).alias("i"), cell(y, ends["y0"], wy).alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.select((ends["x0"] + (F.col("i") + 0.5) * wx).alias("x"), (ends["y0"] + (F.col("j") + 0.5) * wy).alias("y"), "n")
+    wide = ends["n"] ** (-1 / 6)
+    hx, hy, total = (ends["sx"] or 0.0) * wide or wx, (ends["sy"] or 0.0) * wide or wy, ends["n"]
+
+    def run(cells):
+        a, b, n = (cells[c].to_numpy(float) for c in ("x", "y", "n"))
+        kernel = np.exp(-0.5 * (((a[:, None] - a) / hx) ** 2 + ((b[:, None] - b) / hy) ** 2))
+        return cells.assign(density=kernel @ n / (2 * np.pi * hx * hy * total))
+
+    return rows.groupBy().applyInPandas(run, "x double, y double, n long, density double")
+
+
 # The flows of a run's read accounting.
 FLOWS = (
     ("TOTAL_READS", "MAPPED", "PROBE_CONTAINING_READS"), ("TOTAL_READS", "NO_LHS", "FILTERED_NO_LHS"), ("TOTAL_READS", "NO_RHS", "FILTERED_NO_RHS"), ("TOTAL_READS", "NO_CONSTANT", "FILTERED_NO_CONSTANT"),

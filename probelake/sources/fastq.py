@@ -1,13 +1,16 @@
 """FASTQ pairs as a Python data source: one partition a pair of files, streamed in Arrow batches.
 
 Gzip files can't be split, and records span four lines, so a pair of files is the unit of work; many lanes run side by
-side. The files' folder must be one that the executors see.
+side. Paths are local ones that the executors see, or have a scheme that Arrow's file systems open (``hdfs://``, ``s3://``,
+``gs://``, ``file://``).
 """
 
 from __future__ import annotations
 
+import fnmatch
 import glob
 import gzip
+import io
 import os
 from itertools import islice
 
@@ -20,31 +23,62 @@ BATCH = 20_000
 PER_FILE = 40  # a file's ordinals start at its number shifted by this many bits
 
 
+def _file_system(path: str):
+    """(file system, path in it) of a path with a scheme."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def exists(path: str) -> bool:
+    if "://" not in path:
+        return os.path.exists(path)
+    system, inner = _file_system(path)
+    return system.get_file_info(inner).type.name != "NotFound"
+
+
+def matching(pattern: str) -> list[str]:
+    """Files whose path fits a pattern, in any file system; a scheme's patterns are for names within one folder."""
+    if "://" not in pattern:
+        return glob.glob(pattern)
+    from pyarrow import fs
+
+    folder, _, name = pattern.rpartition("/")
+    system, inner = _file_system(folder)
+    found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    return [f"{folder}/{f.base_name}" for f in found if f.is_file and fnmatch.fnmatch(f.base_name, name)]
+
+
 def pair_up(ones: list[str], twos: list[str]) -> list[tuple[str, str]]:
     """Listed R1 and R2 files, zipped in order."""
     if len(ones) != len(twos):
         raise ValueError(f"{len(ones)} R1 files but {len(twos)} R2 files")
-    if lost := [f for f in (*ones, *twos) if not os.path.exists(f)]:
+    if lost := [f for f in (*ones, *twos) if not exists(f)]:
         raise FileNotFoundError(f"no such files: {lost}")
     return list(zip(ones, twos))
 
 
 def discover(pattern_or_prefix: str) -> list[tuple[str, str]]:
     """Pairs of R1 and R2 files: of a prefix, a pattern, or one R1 file; an error where a mate is missing."""
-    found = [pattern_or_prefix] if os.path.isfile(pattern_or_prefix) else glob.glob(pattern_or_prefix) if any(c in pattern_or_prefix for c in "*?[") else glob.glob(f"{pattern_or_prefix}*_R1*")
+    name = pattern_or_prefix
+    one_file = name.endswith((".fastq", ".fq", ".fastq.gz", ".fq.gz")) and exists(name)
+    found = [name] if one_file else matching(name) if any(c in name for c in "*?[") else matching(f"{name}*_R1*")
     ones = sorted(f for f in found if "_R1" in os.path.basename(f) and f.endswith((".fastq", ".fq", ".fastq.gz", ".fq.gz")))
     if not ones:
         raise FileNotFoundError(f"no R1 files for {pattern_or_prefix}")
     pairs = []
     for one in ones:
         two = os.path.join(os.path.dirname(one), os.path.basename(one).replace("_R1", "_R2", 1))
-        if not os.path.exists(two):
+        if not exists(two):
             raise FileNotFoundError(f"no mate for {one}")
         pairs.append((one, two))
     return pairs
 
 
 def _open(path: str):
+    if "://" in path:
+        system, inner = _file_system(path)
+        return io.TextIOWrapper(system.open_input_stream(inner), encoding="utf-8")  # gzip is told by the suffix
     return gzip.open(path, "rt") if path.endswith(".gz") else open(path)
 
 

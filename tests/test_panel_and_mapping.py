@@ -75,6 +75,24 @@ def parser(panel, **options):
     return mapping.Parser([a for a, _ in panel], [b for _, b in panel], **(defaults | options))
 
 
+def test_reads_by_uri_and_by_list(spark, tmp_path):
+    import pytest
+
+    fastq(tmp_path / "u_R1.fastq.gz", ["A" * 28] * 3)
+    fastq(tmp_path / "u_R2.fastq.gz", ["C" * 40] * 3)
+    (tmp_path / "v_R1.fastq").write_text("@r0\nAC\n+\nII\n")
+    (tmp_path / "v_R2.fastq").write_text("@r0\nGT\n+\nII\n")
+    assert len(discover(f"file://{tmp_path}/u")) == 1 and read_fastqs(spark, f"file://{tmp_path}/u").count() == 3
+    listed = read_fastqs(spark, r1=[f"{tmp_path}/u_R1.fastq.gz", f"{tmp_path}/v_R1.fastq"], r2=[f"{tmp_path}/u_R2.fastq.gz", f"{tmp_path}/v_R2.fastq"])
+    assert sorted(r["r1"] for r in listed.collect()) == ["A" * 28] * 3 + ["AC"]
+    with pytest.raises(FileNotFoundError):
+        discover(f"file://{tmp_path}/none")
+    (tmp_path / "w_R1.fastq").write_text("@r0\nAC\n+\n")
+    (tmp_path / "w_R2.fastq").write_text("@r0\nAC\n+\n")
+    with pytest.raises(Exception, match="breaks off"):
+        read_fastqs(spark, f"{tmp_path}/w").count()
+
+
 def test_parser_rejects_and_corrects():
     p = parser([(LEFT, RIGHT), (LEFT, "GGGGGGGGGG")])
     assert p.parse(LEFT + "" + "GGGGGGGGGG" + TAIL)[:3] == (LEFT, "GGGGGGGGGG", "")

@@ -94,3 +94,20 @@ def test_small_readers(spark, tmp_path):
     assert {(r["cell_type"], tuple(r["alleles"])) for r in read_truth(spark, str(tmp_path / "truth.csv")).collect()} == {("A", ("ACT",)), ("B", ("ACT", "CCT"))}
     d = spark.createDataFrame([(1, 1), (5, 1), (1, 9)], "row long, col long")
     assert d.filter(filters.in_box(F.col("row"), F.col("col"), 0, 0, 2, 2)).count() == 1
+
+
+def test_density(spark):
+    import numpy as np
+
+    from probelake.operators import stats
+
+    rng = np.random.default_rng(1)
+    xy = np.concatenate([rng.normal(0, 1, (400, 2)), rng.normal(6, 1, (100, 2))])
+    d = spark.createDataFrame([(float(a), float(b)) for a, b in xy], "a double, b double")
+    got = stats.density(d, "a", "b", 48).toPandas()
+    assert got["n"].sum() == 500 and got.loc[got["density"].idxmax(), ["x", "y"]].abs().max() < 1.5
+    sd = xy.std(0, ddof=1) * 500 ** (-1 / 6)
+    for _, r in got.head(20).iterrows():
+        exact = np.exp(-0.5 * (((xy - [r["x"], r["y"]]) / sd) ** 2).sum(1)).sum() / (2 * np.pi * sd[0] * sd[1] * 500)
+        assert abs(exact - r["density"]) < 0.02 * got["density"].max()
+    assert stats.density(d.filter("a > 100"), "a", "b").count() == 0
