@@ -148,12 +148,12 @@ al as (select probe_idx, case a.kind when 'WT' then wt_gapfill else alt_gapfill
 ct as (select cell_idx, probe_idx + 1 probe_idx, sum(n_umis) ctl from entries where probe_idx < 7 group by all),
 q as (select cell_idx, probe_idx, coalesce(sum(n_umis) filter (gapfill = allele1), 0) a, coalesce(sum(n_umis) filter (gapfill = allele2), 0) b from entries join al using (probe_idx) group by all),
 n as (select cell_idx, a / (case when ctl > 0 then ctl + 1 else 1 end) a, b / (case when ctl > 0 then ctl + 1 else 1 end) b from q left join ct using (cell_idx, probe_idx)),
-o as (select cell_idx, sum(a) support1, sum(b) support2 from n group by 1 having sum(a) > 0.5 or sum(b) > 0.5) select cell_idx, grp, round(support1, 6) support1, round(support2, 6) support2 from o join g using (cell_idx)""")
+o as (select cell_idx, sum(a) support1, sum(b) support2 from n group by 1 having sum(a) > 0.1 or sum(b) > 0.1) select cell_idx, grp, round(support1, 6) support1, round(support2, 6) support2 from o join g using (cell_idx)""")
 def support_by_cell(spark, d):
     """Each probe's control is the one before it."""
     alleles = report.discordant_alleles(_kinds(spark, d), _truth(spark), 0, 2)
     controls = spark.createDataFrame([(i, i - 1) for i in range(2, 8)], "probe_idx long, control_idx long")
-    return report.support_by_cell(b.wide_entries(spark, d), alleles, _groups(spark, d), 0.5, controls).select("cell_idx", "grp", *r6("support1", "support2"))
+    return report.support_by_cell(b.wide_entries(spark, d), alleles, _groups(spark, d), 0.1, controls).select("cell_idx", "grp", *r6("support1", "support2"))
 
 
 def _line_sql(het: bool) -> str:
@@ -322,13 +322,19 @@ def genotype_knn(spark, d):
     return knn.knn_graph(knn.genotype_distances(calls), 5).select("src", "dst", *r6("distance"), "rank")
 
 
-@query(f"""{CALLS}, {NEAR_SQL}, v as (select src cell_idx, y.probe_idx, y.genotype, count(*) n from kn join calls y on y.cell_idx = dst where not exists (select 1 from calls c where c.cell_idx = src and c.probe_idx = y.probe_idx) group by all),
+BIN_CALLS = f"""with entries as (select (l_orderkey % 64) * 64 + l_partkey % 64 cell_idx, cast(l_linenumber as bigint) probe_idx, l_returnflag gapfill, count(*) n_umis from lineitem group by all), {b.CALLS_SQL.format(t=0.5)},
+x as (select cell_idx // 64 cluster, cell_idx, probe_idx, genotype, string_split(genotype, '/') s from calls),
+pd as (select a.cell_idx a, b.cell_idx b, sqrt(sum(len([z for z in a.s if not list_contains(b.s, z)]) + len([z for z in b.s if not list_contains(a.s, z)]))) / count(*) d from x a join x b on a.cluster = b.cluster and a.probe_idx = b.probe_idx and a.cell_idx <> b.cell_idx group by 1, 2),
+kn as (select * from (select a src, b dst, row_number() over (partition by a order by d, b) r from pd) where r <= 5)"""
+
+
+@query(f"""{BIN_CALLS}, v as (select src cell_idx, y.probe_idx, y.genotype, count(*) n from kn join calls y on y.cell_idx = dst where not exists (select 1 from calls c where c.cell_idx = src and c.probe_idx = y.probe_idx) group by all),
 w as (select *, sum(n) over (partition by cell_idx, probe_idx) t, sum(n) over (partition by cell_idx, probe_idx order by n desc, genotype desc rows unbounded preceding) u from v)
 select cell_idx, probe_idx, string_agg(genotype, '/' order by u) genotype, round(max(u) / max(t), 6) certainty from w where u - n < 0.66 * t group by all""")
 def genotype_imputation(spark, d):
-    """Every call is used, and what is missing is taken from the five nearest cells of the cluster."""
-    calls = genotypes.call_genotypes(b.entries(spark, d), 0.6)
-    cells = calls.select("cell_idx", (F.col("cell_idx") % 7).alias("cluster")).distinct()
+    """Bins of the grid as cells, its rows as clusters: probes that a bin lacks are taken from the five nearest bins."""
+    calls = genotypes.call_genotypes(b.spatial_entries(spark, d).withColumn("cell_idx", F.col("row") * 64 + F.col("col")))
+    cells = calls.select("cell_idx", F.floor(F.col("cell_idx") / 64).alias("cluster")).distinct()
     return knn.impute_genotypes(calls, cells, k=5)[0].withColumn("certainty", F.round("certainty", 6))
 
 
