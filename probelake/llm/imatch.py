@@ -63,17 +63,21 @@ def used_terms(rows: DataFrame, *texts: str) -> DataFrame:
     return rows.select("im_range", F.explode(F.when(F.col("im_copy") == 1, F.concat(own, none)).otherwise(own)).alias("u")).select("im_range", "u.b", "u.term").distinct()
 
 
-def held_terms(used: DataFrame, lex: DataFrame) -> DataFrame:
-    """(im_range, im_lex): the lexicon's terms among those that a range uses, an array of ``BUCKETS`` arrays."""
+def known_terms(used: DataFrame, lex: DataFrame) -> DataFrame:
+    """(im_range, b, term): those of ``used`` that the lexicon has."""
     known = maybe_broadcast(lex).withColumn("im_known", F.lit(True))
-    used = used.join(known, "term", "left").filter("im_known or term is null")
-    held = used.groupBy("im_range", "b").agg(F.collect_list("term").alias("ts")).groupBy("im_range").agg(F.sort_array(F.collect_list(F.struct("b", "ts"))).alias("held"))
+    return used.join(known, "term", "left").filter("im_known or term is null").select("im_range", "b", "term")
+
+
+def held_terms(known: DataFrame) -> DataFrame:
+    """(im_range, im_lex): a range's terms, an array of ``BUCKETS`` arrays."""
+    held = known.groupBy("im_range", "b").agg(F.collect_list("term").alias("ts")).groupBy("im_range").agg(F.sort_array(F.collect_list(F.struct("b", "ts"))).alias("held"))
     return held.select("im_range", F.col("held.ts").alias("im_lex"))
 
 
 def with_lexicon(rows: DataFrame, lex: DataFrame, *texts: str) -> DataFrame:
     """``rows`` with im_lex of their range."""
-    return rows.join(cut(held_terms(cut(used_terms(rows, *texts)), lex)), "im_range", "left")
+    return rows.join(cut(held_terms(cut(known_terms(cut(used_terms(rows, *texts)), lex)))), "im_range", "left")
 
 
 def fingerprint(text: Column, lex: Column) -> Column:
@@ -151,9 +155,11 @@ def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     """(id, text, im_text, im_own, im_edited, im_after): a row's fingerprint, its edited text's, and the next row's."""
     lex = cut(lexicon(df, text))
     rows = edited(with_next(df, id, text, copies=True), text)
-    used = cut(used_terms(rows, text, "im_splice"))  # written, so that the texts' shuffle files go before terms are shuffled
-    held = cut(held_terms(used, lex))
+    used = cut(used_terms(rows, text, "im_splice"))  # each step is written, so that the one before frees its shuffle files
+    known = cut(known_terms(used, lex))
     discard(lex, used)
+    held = cut(held_terms(known))
+    discard(known)
     rows = rows.drop("im_splice", "im_next").join(held, "im_range", "left")
     rows = rows.withColumns({"im_own": fingerprint(F.col(text), F.col("im_lex")), "im_edited": F.when(F.col("im_copy") == 0, fingerprint(F.col("im_text"), F.col("im_lex")))}).drop("im_lex")
     return rows.withColumn("im_after", F.lead("im_own").over(order(id, text))).filter("im_copy = 0").select(id, text, "im_text", "im_own", "im_edited", "im_after")
