@@ -206,9 +206,9 @@ def repeats(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFra
     discard(found)
 
     def at(rows: DataFrame, *cols: str) -> DataFrame:
-        """(db_key, db_text, path) for rows (key, cols); of equal rows of the table, each."""
-        chosen = cut(rows.groupBy("key").agg(F.collect_list(F.struct(*cols)).alias("path")))
-        return texts.join(maybe_broadcast(chosen), F.col("db_key") == F.col("key")).select("db_key", "db_text", "path")
+        """(db_key, db_text, path) for rows (key, cols); of equal rows of the table, each. Paths grow with the table: never broadcast."""
+        chosen = rows.groupBy("key").agg(F.collect_list(F.struct(*cols)).alias("path"))
+        return texts.join(chosen.hint("merge"), F.col("db_key") == F.col("key")).select("db_key", "db_text", "path")
 
     opened = cut(_opened(at(known.filter("branch"), "first", "n", "twice"), window))
     several = opened.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2")
@@ -217,8 +217,9 @@ def repeats(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFra
     made = cut(paths(known.filter("twice")))
     seen = cut(digests(at(made.withColumn("kind", F.lit(0)).unionByName(single), "first", "n", "kind"), window))
     discard(single)
-    counts = seen.groupBy("digest", "n", (F.col("kind") > 0).alias("window")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest", "n", "window")
-    sure = cut(seen.withColumn("window", F.col("kind") > 0).join(counts, ["digest", "n", "window"], "left_semi").filter("kind < 2").select("key", "first", "n", "kind").distinct())
+    counts = seen.groupBy("digest", "n", (F.col("kind") > 0).alias("window")).agg(F.count(F.lit(1)).alias("c"))
+    once = cut(counts.filter("c = 1").select("digest", "n", "window"))  # counted before the shuffle, and few: most that is proposed is right
+    sure = cut(seen.withColumn("window", F.col("kind") > 0).join(maybe_broadcast(once), ["digest", "n", "window"], "left_anti").filter("kind < 2").select("key", "first", "n", "kind").distinct())
     alone = made.join(sure.filter("kind = 0"), ["key", "first", "n"], "left_anti")
     alone = cut(alone.select("key", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi")))
     spans = sure.select("key", "first", "n")
@@ -238,7 +239,7 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", windo
     """(id, n_words, n_removed, kept): kept words joined by one space, for each row."""
     kind = df.schema[id].dataType.simpleString()
     texts = keyed(df, id, text)
-    texts = texts.join(maybe_broadcast(repeats(texts, window)), F.col("db_key") == F.col("key"), "left").select("db_id", "db_text", "path")
+    texts = texts.join(repeats(texts, window).hint("merge"), F.col("db_key") == F.col("key"), "left").select("db_id", "db_text", "path")
     names = [id, "n_words", "n_removed", "kept"]
 
     def run(batches):
