@@ -319,7 +319,7 @@ kn as (select * from (select a src, b dst, d, row_number() over (partition by a
 @query(f"{CALLS}, {NEAR_SQL} select src, dst, round(d, 6) distance, cast(r as int) rank from kn")
 def genotype_knn(spark, d):
     calls = genotypes.call_genotypes(b.entries(spark, d), 0.6).withColumn("cluster", F.col("cell_idx") % 7)
-    return knn.knn_graph(knn.genotype_distances(calls), 5).select("src", "dst", *r6("distance"), "rank")
+    return knn.genotype_neighbours(calls, 5).select("src", "dst", *r6("distance"), "rank")
 
 
 BIN_CALLS = f"""with entries as (select (l_orderkey % 64) * 64 + l_partkey % 64 cell_idx, cast(l_linenumber as bigint) probe_idx, l_returnflag gapfill, count(*) n_umis from lineitem group by all), {b.CALLS_SQL.format(t=0.5)},

@@ -8,6 +8,7 @@ import pytest
 
 from probelake.operators import knn
 from probelake.plans import queries as q
+from probelake.plans import report_queries as rq
 
 SCHEMA = "cluster long, cell_idx long, probe_idx long, genotype string"
 
@@ -73,3 +74,11 @@ def test_strips_of_few_alleles(monkeypatch, features):
     differ, shared = (np.vstack([s[i] for s in strips]) for i in (1, 2))
     got = {(0, cells[i], cells[j]): float(differ[i, j]) ** 0.5 / float(shared[i, j]) for i, j in zip(*np.nonzero(shared)) if i != j}
     assert got == want
+
+
+def test_neighbour_query_makes_no_row_a_pair(spark, monkeypatch):
+    def refuse(*a, **k):
+        raise AssertionError("a row a pair of cells")
+
+    monkeypatch.setattr(knn, "genotype_distances", refuse)
+    assert rq.genotype_knn(spark, "/root/testdata/sf0.001").collect()
