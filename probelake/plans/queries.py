@@ -493,7 +493,7 @@ def map_reads(spark, d):
     left, right = (F.array(*[F.lit(x[i]) for x in ARMS]) for i in (0, 1))
     r = b.reads(spark, d)
     k, at = F.col("k"), (F.col("probe_idx") + 1).cast("int")
-    code = F.translate(F.lpad(F.conv(F.col("cell_idx").cast("string"), 10, 4), 8, "0"), "0123", "ACGT")
+    code = b.code(F.col("cell_idx"))
     cell = F.rpad(code, 16, "CA")
     # Edits in a part that no other entry comes near: the padding of cells, the first letters of arms, the sample's end.
     seen = F.when(k % 13 == 0, F.repeat(F.lit("N"), F.lit(16))).when(k % 5 == 1, F.concat(code, F.lit("TACACACA"))).when(k % 5 == 2, F.concat(code, F.lit("TACACACT"))).otherwise(cell)
