@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import duckdb
+import pytest
 
 from probelake.plans import queries as q
 
@@ -17,6 +18,12 @@ def against_sql(spark, tmp_path, table, name):
     assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
 
 
+@pytest.mark.parametrize("name", ["whitelist_exact", "whitelist_indels"])
+def test_long_customer_keys(spark, tmp_path, name):
+    spark.createDataFrame([(k,) for k in KEYS], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    against_sql(spark, tmp_path, "customer", name)
+
+
 def test_long_cell_keys(spark, tmp_path):
     kinds = ["click", "error", "purchase", "signup", "view"]
     rows = [(i, datetime(2024, 1, 1), KEYS[i % len(KEYS)], kinds[i % 5], 1.0, f'{{"k": {i % 100}}}') for i in range(200)]
