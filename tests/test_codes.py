@@ -18,7 +18,7 @@ def against_sql(spark, tmp_path, table, name):
     assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["whitelist_exact", "whitelist_indels", "whitelist_pigeonhole"])
+@pytest.mark.parametrize("name", ["two_part_barcodes", "whitelist_exact", "whitelist_indels", "whitelist_pigeonhole"])
 def test_long_customer_keys(spark, tmp_path, name):
     spark.createDataFrame([(k,) for k in KEYS], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     against_sql(spark, tmp_path, "customer", name)
