@@ -563,7 +563,7 @@ m as (select gene, sum(x) s, sum(x * x) q from x group by gene) select gene, rou
 def variable_genes(spark, d):
     li = b.table(spark, d, "lineitem")
     n = li.groupBy(F.col("l_suppkey").alias("cell_idx"), (F.col("l_partkey") % 40).alias("gene")).agg(F.count(F.lit(1)).alias("n"))
-    return knn.variable_genes(knn.log_normalized(n), li.select("l_suppkey").distinct().count(), 10).withColumn("dispersion", F.round("dispersion", 6))
+    return knn.variable_genes(knn.log_normalized(n), li.select("l_suppkey").distinct().count(), 10, 6)
 
 
 from . import report_queries  # noqa: E402, F401  (registers its queries)
