@@ -1,6 +1,7 @@
 """Keys with more than eight base-4 digits against the SQL."""
 
 from datetime import datetime
+from itertools import product
 
 import duckdb
 import pytest
@@ -29,6 +30,13 @@ def test_negative_customer_keys(spark, tmp_path):
     against_sql(spark, tmp_path, "customer", "two_part_barcodes")
 
 
+def test_negative_keys_of_whole_entries(spark, tmp_path):
+    # Without a digit -1, so that the SQL's entries have one length.
+    keys = [-sum(d * 4**i for i, d in enumerate(ds)) for ds in product((0, 2, 3), repeat=4)] + [-(65_536 * 3 + 11), 5, 6]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    against_sql(spark, tmp_path, "customer", "whitelist_pigeonhole")
+
+
 def test_long_cell_keys(spark, tmp_path):
     kinds = ["click", "error", "purchase", "signup", "view"]
     rows = [(i, datetime(2024, 1, 1), KEYS[i % len(KEYS)], kinds[i % 5], 1.0, f'{{"k": {i % 100}}}') for i in range(200)]
